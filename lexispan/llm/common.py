@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -63,3 +65,30 @@ def require(df: DataFrame, *names: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver forget shuffles that nothing refers to any more, so their files go."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, label): for each node of the edges (a, b), the smallest node it is connected to.
+
+    Each round a node takes the least label of itself and its neighbours, then the label of that
+    label, so the rounds needed grow with the logarithm of a component's width.
+    """
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    both = scratch.save(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{name}-both")
+    labels = scratch.save(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")), f"{name}-0")
+    k = 0
+    while True:
+        k += 1
+        seen = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
+        lower = labels.join(seen, "u").select("u", "label", F.least("label", "near").alias("low"))
+        jump = labels.select(F.col("u").alias("low"), F.col("label").alias("beyond"))
+        moved = scratch.save(lower.join(jump, "low", "left").select("u", F.least("low", F.coalesce("beyond", "low")).alias("label"), (F.col("label") != F.least("low", F.coalesce("beyond", "low"))).alias("moved")), f"{name}-{k}")
+        labels = moved.select("u", "label")
+        if not moved.where("moved").limit(1).count():
+            return labels.withColumnRenamed("u", "node")

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from lexispan.llm.common import table
 from lexispan.llm.html_text import extract_pages
+from lexispan.llm.jaccard import near_duplicates
 from lexispan.llm.neighbours import nearest_neighbours
 from lexispan.llm.packing import pack_documents
 from lexispan.llm.quality import robust_quality
@@ -42,6 +43,10 @@ def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity_audit(archived(pages, False), archived(pages, True))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0))
