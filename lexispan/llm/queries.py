@@ -15,6 +15,7 @@ from lexispan.llm.jaccard import near_duplicates
 from lexispan.llm.neighbours import nearest_neighbours
 from lexispan.llm.packing import pack_documents
 from lexispan.llm.quality import robust_quality
+from lexispan.llm.suffixes import remove_repeats
 from lexispan.llm.tokens import round_trip_digests, token_counts
 from lexispan.llm.urls import judge_urls
 from lexispan.llm.warc import fixity_audit, warc_record
@@ -62,6 +63,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=1024)
 
 
+def op6_deep_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
