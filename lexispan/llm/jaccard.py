@@ -10,7 +10,8 @@
 3. Candidates share a token of the first prefix and are of matching size; those whose prefixes under
    the other orders share nothing are dropped; the rest are verified on whole sets. To find classes,
    not all pairs of a group are needed: each round compares every set with one leader per token,
-   unless they are already connected; what stays unconnected after some rounds is compared in full.
+   unless they are already connected. What stays unconnected after some rounds is compared in full:
+   pair by pair for tokens of few sets, else block by block, without emitting pairs.
 
 Defined cases: null or wordless texts have no shingles and no links, and are components of their own;
 texts of fewer words than a shingle are one shingle; repeated rows are linked to each other; only id
@@ -240,7 +241,53 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
-def linked_classes(sets: DataFrame, scratch: Scratch, percent: int, rounds: int = 3) -> DataFrame:
+def _compare_blocks(percent: int, slab: int = 4096):
+    def compare(key: tuple, t: pa.Table) -> pa.Table:
+        """Links between sets of two blocks, one for each two labels; intersections by products of incidence."""
+        first, second, chunk = key[1].as_py(), key[2].as_py(), t["chunk"].to_numpy()
+        labels, sizes = t["label"].to_numpy(), t["n"].to_numpy()
+        lists = t["tokens"].combine_chunks()
+        tokens = lists.flatten().to_numpy()
+        owner = np.repeat(np.arange(t.num_rows), np.diff(lists.offsets.to_numpy()))
+        _, column, times = np.unique(tokens, return_inverse=True, return_counts=True)
+        met = times[column] > 1  # a token of one set adds to no intersection
+        column, owner = np.unique(column[met], return_inverse=True)[1], owner[met]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        left, right = np.flatnonzero(chunk == first), np.flatnonzero(chunk == second)
+        common = np.zeros((len(left), len(right)), dtype=np.float32)
+        wide = int(column[-1]) + 1 if len(column) else 0
+        for at in range(0, wide, slab):
+            lo, hi = np.searchsorted(column, [at, at + slab])
+            m = np.zeros((t.num_rows, min(slab, wide - at)), dtype=np.float32)
+            m[owner[lo:hi], column[lo:hi] - at] = 1
+            common += m[left] @ m[right].T
+        total = sizes[left][:, None] + sizes[right][None]
+        linked = (100 * common.astype(np.int64) >= percent * (total - common.astype(np.int64))) & (labels[left][:, None] != labels[right][None])
+        a, b = np.nonzero(linked)
+        ends = np.unique(np.stack([labels[left][a], labels[right][b]], axis=1), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
+        return pa.table({"a": pa.array(ends[:, 0], pa.int64()), "b": pa.array(ends[:, 1], pa.int64())})
+
+    return compare
+
+
+def block_links(open_: DataFrame, sets: DataFrame, scratch: Scratch, percent: int, block: int = 512) -> DataFrame:
+    """(a, b): labels that have a link between them, for tokens of many sets that are not yet one component.
+
+    Such sets form families by the tokens they share. A family of any size is dealt to blocks, and each
+    two blocks are compared in one task, so that no pairs are emitted and a set is sent once a block.
+    """
+    member = scratch.save(open_.select("key", "label", "main").distinct(), "family-members")
+    families = components(member.where("label <> main").select(F.col("label").alias("a"), F.col("main").alias("b")), scratch, "families")
+    member = member.select("key", "label").distinct().join(families.select(F.col("node").alias("label"), F.col("label").alias("family")), "label")
+    held = scratch.save(member.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "families")
+    dealt = member.join(held, "family").join(sets.select("key", "n", "tokens"), "key").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    sent = dealt.select("family", "label", "n", "tokens", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    sent = sent.select("family", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"), "label", "n", "tokens", "chunk")
+    return scratch.save(sent.groupBy("family", "first", "second").applyInArrow(_compare_blocks(percent), "a long, b long"), "block-links")
+
+
+def linked_classes(sets: DataFrame, scratch: Scratch, percent: int, rounds: int = 3, few: int = 32) -> DataFrame:
     """(key, label): sets that are linked, directly or by others, have one label."""
     labels = scratch.save(sets.select("key", F.col("key").alias("label")), "labels0")
     postings = scratch.save(sets.select("key", "n", F.explode("first").alias("token")), "postings")
@@ -254,20 +301,24 @@ def linked_classes(sets: DataFrame, scratch: Scratch, percent: int, rounds: int
             met = here.join(lead, "token").where((F.col("label") != F.col("lead.label")) & _sizes_match("n", "lead.n", percent)).select("key", F.col("lead.key").alias("other"))
         else:  # in full: what is not of a token's largest component, against all of other components
             held = here.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
-            most = held.groupBy("token").agg(F.max(F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-            open_ = here.join(most.select("token", F.col("most.label").alias("main")), "token")
+            most = held.groupBy("token").agg(F.max(F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("labels"), F.sum("c").alias("held")).where("labels > 1")
+            most = scratch.save(most.select("token", F.col("most.label").alias("main"), "held"), "open")
+            open_ = here.join(most, "token")
+            blocked = block_links(open_.where(F.col("held") > few), sets, scratch, percent)
+            open_ = open_.where(F.col("held") <= few)
             strays = open_.where("label <> main").select("token", F.col("key").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
             met = open_.join(strays, "token").where((F.col("label") != F.col("other_label")) & ((F.col("label") == F.col("main")) | (F.col("key") < F.col("other"))) & _sizes_match("n", "other_n", percent)).select("key", "other")
         pairs = met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, f"pairs{k}")
-        if not pairs.limit(1).count():
+        if k < rounds and not pairs.limit(1).count():
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
         edges = scratch.save(verified(pairs, sets, percent), f"edges{k}")
         by_label = edges.join(labels.select(F.col("key").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("key").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb")
-        joined = scratch.save(by_label.select(F.col("la").alias("a"), F.col("lb").alias("b")), f"joined{k}")
+        by_label = by_label.select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        joined = scratch.save(by_label if k < rounds else by_label.unionByName(blocked), f"joined{k}")
         if joined.limit(1).count():
             merged = components(joined, scratch, f"merge{k}").select(F.col("node").alias("label"), F.col("label").alias("low"))
             labels = scratch.save(labels.join(merged, "label", "left").select("key", F.coalesce("low", "label").alias("label")), f"labels{k + 1}")
