@@ -62,9 +62,10 @@ def pack40(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
-def unpack40(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+def unpack40(data: bytes | pa.Buffer) -> np.ndarray:
+    flat = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(flat), 8), dtype=np.uint8)
+    out[:, :5] = flat
     return out.view("<u8").ravel()
 
 
@@ -136,32 +137,48 @@ def _route(bits: int, words: int, most: int = 2_000_000):
     return route
 
 
+SLICES = 16
+
+
+def _often(tokens: np.ndarray, owner: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(token, owner, df) of the tokens of several classes, in order of token and class."""
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    again = tokens[1:] == tokens[:-1]
+    often = np.zeros(len(tokens), dtype=bool)
+    often[1:] |= again
+    often[:-1] |= again
+    tokens, owner = tokens[often], owner[often]
+    keys = heads["key"][owner]
+    order = np.lexsort((keys, tokens))
+    tokens, keys, owner = tokens[order], keys[order], owner[order]
+    first = np.ones(len(tokens), dtype=bool)  # a class met in several batches counts once
+    first[1:] = (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])
+    tokens, owner = tokens[first], owner[first]
+    starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, dtype=np.int64)
+    times = np.diff(np.r_[starts, len(tokens)])
+    df = np.repeat(times, times)
+    kept = df > 1
+    return tokens[kept], owner[kept], np.minimum(df[kept], 65535).astype("<u2")
+
+
 def _count(bits: int, parts: int):
     def count(key: tuple, t: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
         if bucket < 0:
             nothing = pa.nulls(t.num_rows, pa.binary())
             return pa.table({"part": pa.nulls(t.num_rows, pa.int32()), "heads": nothing, "tokens": nothing, "df": nothing, "id": t["id"], "key": t["key"], "n": t["n"]})
-        heads = np.concatenate([np.frombuffer(x, HEAD) for x in t["heads"].to_pylist()])
-        tokens = np.concatenate([unpack40(x) for x in t["tokens"].to_pylist()])
-        order = np.argsort(tokens, kind="stable")
-        ranked = tokens[order]
-        again = ranked[1:] == ranked[:-1]
-        often = np.zeros(len(ranked), dtype=bool)
-        often[1:] |= again
-        often[:-1] |= again
-        order, ranked = order[often], ranked[often]
-        owner = np.repeat(np.arange(len(heads), dtype=np.int32), heads["run"])[order]
+        heads = np.concatenate([np.frombuffer(x.as_py(), HEAD) for x in t["heads"]])
+        held = sum(len(x.as_buffer()) for x in t["tokens"]) // 5
+        tokens, at = np.empty(held, np.uint64), 0
+        for x in t["tokens"]:
+            some = unpack40(x.as_buffer())
+            tokens[at : at + len(some)] = some
+            at += len(some)
+        owner = np.repeat(np.arange(len(heads), dtype=np.int32), heads["run"])
+        slices = [_often(tokens[at], owner[at], heads) for k in range(SLICES) if len(at := np.flatnonzero(tokens >> np.uint64(TOKEN_BITS - 4) == k))]
+        ranked, owner, df = (np.concatenate([x[k] for x in slices]) for k in range(3))
         keys = heads["key"][owner]
-        order = np.lexsort((keys, ranked))
-        ranked, keys, owner = ranked[order], keys[order], owner[order]
-        first = np.ones(len(ranked), dtype=bool)  # a class met in several batches counts once
-        first[1:] = (ranked[1:] != ranked[:-1]) | (keys[1:] != keys[:-1])
-        ranked, keys, owner = ranked[first], keys[first], owner[first]
-        starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, dtype=np.int64)
-        df = np.repeat(np.diff(np.r_[starts, len(ranked)]), np.diff(np.r_[starts, len(ranked)]))
-        kept = df > 1
-        ranked, keys, owner, df = ranked[kept], keys[kept], owner[kept], np.minimum(df[kept], 65535).astype("<u2")
         part = (mix(keys, 7) % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((ranked, keys, part))
         ranked, keys, owner, df, part = ranked[order], keys[order], owner[order], df[order], part[order]
