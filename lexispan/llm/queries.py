@@ -99,8 +99,8 @@ whole AS (
     CASE WHEN page_id % 97 = 13 AND length(body) > 0 THEN '~' || substr(body, 2) ELSE body END AS body_b FROM sized),
 placed AS (
   SELECT *, head || strlen(body_b) || chr(13) || chr(10) || chr(13) || chr(10) || body_b || chr(13) || chr(10) || chr(13) || chr(10) AS held,
-    coalesce(sum(strlen(good)) OVER (PARTITION BY archive ORDER BY page_id, url, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM whole)
-SELECT archive, CAST(at AS BIGINT) AS "offset", CASE WHEN page_id % 389 = 5 THEN 'missing' ELSE 'corrupt' END AS status,
+    coalesce(sum(strlen(good)) OVER (PARTITION BY archive ORDER BY page_id, url, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM whole)
+SELECT archive, CAST(place AS BIGINT) AS "offset", CASE WHEN page_id % 389 = 5 THEN 'missing' ELSE 'corrupt' END AS status,
   CAST(strlen(good) AS BIGINT) AS primary_length, CASE WHEN page_id % 389 = 5 THEN NULL ELSE CAST(strlen(held) AS BIGINT) END AS replica_length,
   sha256(good) AS primary_sha256, CASE WHEN page_id % 389 = 5 THEN NULL ELSE sha256(held) END AS replica_sha256
 FROM placed WHERE page_id % 389 = 5 OR held <> good
