@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexispan.llm.common import table
+from lexispan.llm.common import Scratch, table
 from lexispan.llm.html_text import extract_pages
 from lexispan.llm.jaccard import near_duplicates
 from lexispan.llm.neighbours import nearest_neighbours
@@ -18,34 +18,33 @@ from lexispan.llm.quality import robust_quality
 from lexispan.llm.suffixes import remove_repeats
 from lexispan.llm.tokens import round_trip_digests, token_counts
 from lexispan.llm.urls import judge_urls
-from lexispan.llm.warc import fixity_audit, warc_record
+from lexispan.llm.warc import audit_digests, warc_record
 
 TOKENIZER = "byte_bpe_50k.json"
 ARCHIVE_RECORDS = 1000
 
 
-def archived(pages: DataFrame, replica: bool) -> DataFrame:
-    """(archive, offset, payload): pages written as WARC records, 1000 consecutive ids to an archive.
+def archived(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Digests (archive, offset, length, sha256) of two replicas of the pages as WARC records.
 
-    The replica has planted faults: a changed byte where id % 97 = 13, records lost where id % 389 = 5.
+    1000 consecutive ids are an archive. The replica has planted faults: a changed byte where
+    id % 97 = 13, records lost where id % 389 = 5. Records are digested where they are read; only
+    digests are dealt out to find the offsets.
     """
     body = F.coalesce("html", F.lit(""))
-    archive = F.floor(F.col("page_id") / ARCHIVE_RECORDS).cast("string")
-    by = Window.partitionBy(archive).orderBy("page_id", "url", "html").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = pages.select("page_id", archive.alias("archive"), F.coalesce(F.sum(F.octet_length(warc_record("response", F.col("url"), F.col("page_id"), body))).over(by), F.lit(0)).alias("offset"), "url", body.alias("body"))
-    if replica:
-        rotten = F.when((F.col("page_id") % 97 == 13) & (F.length("body") > 0), F.concat(F.lit("~"), F.substring("body", 2, 1 << 30))).otherwise(F.col("body"))
-        sizes = sizes.where((F.col("page_id") % 389 != 5) | F.col("page_id").isNull()).withColumn("body", rotten)
-    return sizes.select("archive", "offset", warc_record("response", F.col("url"), F.col("page_id"), F.col("body")).alias("payload"))
+    rotten = F.when((F.col("page_id") % 97 == 13) & (F.length(body) > 0), F.concat(F.lit("~"), F.substring(body, 2, 1 << 30))).otherwise(body)
+    record = lambda b: warc_record("response", F.col("url"), F.col("page_id"), b)
+    both = pages.select("page_id", "url", F.floor(F.col("page_id") / ARCHIVE_RECORDS).cast("string").alias("archive"), record(body).alias("good"), record(rotten).alias("held"))
+    digests = both.select("page_id", "url", "archive", *[f(n) for n in ("good", "held") for f in (lambda n: F.octet_length(n).cast("long").alias(f"{n}_length"), lambda n: F.sha2(F.col(n).cast("binary"), 256).alias(f"{n}_sha256"))])
+    by = Window.partitionBy("archive").orderBy("page_id", "url", "good_sha256").rowsBetween(Window.unboundedPreceding, -1)
+    placed = digests.withColumn("offset", F.coalesce(F.sum("good_length").over(by), F.lit(0)))
+    placed = Scratch(pages.sparkSession, "archived").save(placed.where("archive is not null"), "placed")
+    side = lambda n: ("archive", "offset", F.col(f"{n}_length").alias("length"), F.col(f"{n}_sha256").alias("sha256"))
+    return placed.select(*side("good")), placed.where("page_id % 389 <> 5").select(*side("held"))
 
 
 def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return fixity_audit(archived(pages, False), archived(pages, True))
-
-
-def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return audit_digests(*archived(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
 
 
 def op3_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +98,7 @@ whole AS (
     CASE WHEN page_id % 97 = 13 AND length(body) > 0 THEN '~' || substr(body, 2) ELSE body END AS body_b FROM sized),
 placed AS (
   SELECT *, head || strlen(body_b) || chr(13) || chr(10) || chr(13) || chr(10) || body_b || chr(13) || chr(10) || chr(13) || chr(10) AS held,
-    coalesce(sum(strlen(good)) OVER (PARTITION BY archive ORDER BY page_id, url, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM whole)
+    coalesce(sum(strlen(good)) OVER (PARTITION BY archive ORDER BY page_id, url, sha256(good) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM whole)
 SELECT archive, CAST(place AS BIGINT) AS "offset", CASE WHEN page_id % 389 = 5 THEN 'missing' ELSE 'corrupt' END AS status,
   CAST(strlen(good) AS BIGINT) AS primary_length, CASE WHEN page_id % 389 = 5 THEN NULL ELSE CAST(strlen(held) AS BIGINT) END AS replica_length,
   sha256(good) AS primary_sha256, CASE WHEN page_id % 389 = 5 THEN NULL ELSE sha256(held) END AS replica_sha256

@@ -63,8 +63,13 @@ def fixity_audit(primary: DataFrame, replica: DataFrame, archive: str = "archive
     One row for each place whose records differ; status is ``corrupt``, ``missing`` (from the
     replica) or ``extra`` (in the replica). Several records at one place: digests joined by commas.
     """
+    return audit_digests(*[record_digests(x, archive, offset, payload) for x in (primary, replica)], range_bytes, fanout)
+
+
+def audit_digests(primary: DataFrame, replica: DataFrame, range_bytes: int = 1 << 16, fanout: int = 16) -> DataFrame:
+    """The audit of replicas whose records are digested already: (archive, offset, length, sha256)."""
     scratch = Scratch(primary.sparkSession, "fixity")
-    leaves = [scratch.save(record_digests(x, archive, offset, payload), f"leaves{k}") for k, x in enumerate((primary, replica))]
+    leaves = [scratch.save(x.select("archive", "offset", "length", "sha256"), f"leaves{k}") for k, x in enumerate((primary, replica))]
     levels = [[scratch.save(range_nodes(x, range_bytes), f"level0-{k}") for k, x in enumerate(leaves)]]
     top = max(x.agg(F.max(F.abs("node"))).first()[0] or 0 for x in levels[0])
     while top > 0:
