@@ -302,7 +302,7 @@ class Encoder:
     end at least ``lookahead`` bytes before the window's end are stable and go out, the rest stays.
     """
 
-    def __init__(self, table: MergeTable, lookahead: int | None = None, window: int = 4096, cache: int = 200_000):
+    def __init__(self, table: MergeTable, lookahead: int | None = None, window: int = 4096, cache: int = 400_000):
         self.table = table
         self.lookahead = sufficient_lookahead(table) if lookahead is None else lookahead
         self.window = max(window, 4 * (self.lookahead + table.longest))
