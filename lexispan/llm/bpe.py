@@ -176,7 +176,7 @@ class PrefixCounter:
     encoding exactly if each adjacent pair is, so one table answers every prefix.
     """
 
-    def __init__(self, table: MergeTable, cache: int = 300_000):
+    def __init__(self, table: MergeTable, cache: int = 600_000):
         self.table = table
         self.pairs: dict[int, bool] = {}
         # a token that its own bytes are not encoded as occurs in no encoding
