@@ -9,8 +9,8 @@ best rows, and these are ranked at the end.
 
 Defined cases: vectors that are null, zero, of another dimension than most, or with null or
 non-finite components take no part; with fewer candidates than asked for, all are returned; ties go
-to the smaller id; rows repeated under one id are one vector each, and none is a candidate of a query
-of the same id; other columns are not read; no vectors or no queries give an empty result.
+to the smaller id; rows repeated under one id count once, and none is a candidate of a query of the same
+id; other columns are not read; no vectors or no queries give an empty result.
 """
 
 from __future__ import annotations
@@ -185,8 +185,13 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame | None = None, k: int =
         if queries_here.num_rows and rows_here.num_rows:
             v, ids, leaf = matrix(rows_here["v"].combine_chunks()), rows_here["id"].to_numpy(), rows_here["leaf"].to_numpy()
             qv, qid = matrix(queries_here["v"].combine_chunks()), queries_here["id"].to_numpy()
+            visited = queries_here["leaves"].to_pylist()
+            once = np.unique(ids, return_index=True)[1]
+            v, ids, leaf = v[once], ids[once], leaf[once]
+            once = np.unique(qid, return_index=True)[1]
+            qv, qid, visited = qv[once], qid[once], [visited[k] for k in once]
             wanted = np.zeros((len(qid), tree.leaves), dtype=bool)
-            for r, found in enumerate(queries_here["leaves"].to_pylist()):
+            for r, found in enumerate(visited):
                 wanted[r, found] = True
             for at in range(0, len(qid), 128):
                 part = qv[at : at + 128]
