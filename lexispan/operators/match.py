@@ -24,14 +24,15 @@ def windows(sentences: DataFrame, size: int = 4, pre_filter: Callable[..., Colum
     """
     if size <= 0:
         sentences, size = sentences.where(F.lit(False)), 1
+    filled = lambda w: F.when(w != "", w)  # noqa: E731  null is skipped by array_join, '' is not
     if pre_filter is None:
         kept = F.col("words")
     elif "meta" in sentences.columns and pre_filter.__code__.co_argcount == 2:
-        kept = F.transform(F.arrays_zip("words", "meta"), lambda p: pre_filter(p["words"], p["meta"]))
+        kept = F.transform(F.arrays_zip("words", "meta"), lambda p: filled(pre_filter(p["words"], p["meta"])))
     else:
-        kept = F.transform("words", lambda w: pre_filter(w))
+        kept = F.transform("words", lambda w: filled(pre_filter(w)))
     rows = sentences.where(F.size("words") > 0).select(id_col, "sent_idx", F.size("words").alias("n"), kept.alias("kept"))
-    query = lambda i, k: F.array_join(F.filter(F.slice("kept", i + 1, k), lambda w: w.isNotNull() & (w != "")), " ")
+    query = lambda i, k: F.array_join(F.slice("kept", i + 1, k), " ")
     at_start = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(size), F.col("n") - i)), lambda k: F.struct(i.alias("start"), (i + k).alias("stop"), query(i, k).alias("query")))
     made = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 1), at_start))
     # explode_outer: a plain explode makes the optimizer compute the windows once more for a filter
