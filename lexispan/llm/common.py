@@ -90,5 +90,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         jump = labels.select(F.col("u").alias("low"), F.col("label").alias("beyond"))
         moved = scratch.save(lower.join(jump, "low", "left").select("u", F.least("low", F.coalesce("beyond", "low")).alias("label"), (F.col("label") != F.least("low", F.coalesce("beyond", "low"))).alias("moved")), f"{name}-{k}")
         labels = moved.select("u", "label")
-        if not moved.where("moved").limit(1).count():
+        still = moved.where("moved").limit(1).count()
+        scratch.drop(f"{name}-{k - 1}")
+        if not still:
+            scratch.drop(f"{name}-both")
             return labels.withColumnRenamed("u", "node")

@@ -340,6 +340,8 @@ def linked_classes(sets: DataFrame, scratch: Scratch, percent: int, rounds: int
             merged = components(joined, scratch, f"merge{k}").select(F.col("node").alias("label"), F.col("label").alias("low"))
             labels = scratch.save(labels.join(merged, "label", "left").select("key", F.coalesce("low", "label").alias("label")), f"labels{k + 1}")
         release(sets.sparkSession)
+    for name in ("postings", "shared", "open", "family-members", *[f"{x}{k}" for x in ("pairs", "edges", "joined") for k in range(rounds + 1)]):
+        scratch.drop(name)  # labels are a table of their own
     return labels
 
 
