@@ -29,7 +29,7 @@ RAW_TAGS = frozenset("script style textarea title noscript template svg math ifr
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BOILER_TAGS = frozenset("nav header footer aside form menu dialog fieldset search head".split())
 MAIN_TAGS = frozenset("article main".split())
-BOILER_NAMES = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|copyright|sidebar|aside|widget\w*|related|share|sharing|social|comments?|disqus|reply|replies|respond|cookies?|consent|notices?|popup|modal|newsletter|subscri\w*|login|signup|search\w*|tags?|pager|pagination|skip\w*|toolbar|alert)(?:$|[\s_-])")
+BOILER_NAMES = re.compile(r"(?i)(?:^|[\s_-])(?:ad(?:s|box|slot|unit|sense|vert\w*)?|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer\w*|foot|copyright|sidebar\w*|aside|widget\w*|related|share|sharing|social|comment\w*|disqus|reply|replies|respond|discussion|feedback|cookie\w*|consent|notice\w*|notif\w*|disclaimer|popup|modal|newsletter|subscri\w*|login|signup|search\w*|tags?|pager|pagination|skip\w*|toolbar|alert)(?:$|[\s_-])")
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*+(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"(?i)(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s\"'>]+))?")

@@ -27,13 +27,18 @@ RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 BUCKETS, SIZES = 1 << 14, (3, 4, 5)
 BLOCK_STEMS = ("ads", "track", "banner", "bets", "casino", "pills", "spam", "adult", "poker", "xxx", "win-prize", "cheap", "free-bets", "casino-win", "spam-farm", "ads-track", "cheap-pills", "adult-x", "payday-loan", "porn")
 ALLOW_STEMS = ("garden", "library", "museum", "theon", "tionre", "ththing", "school", "recipes", "physics", "history", "thander", "news", "weather", "council", "ereour", "handbook", "ingwhed", "music", "bleand", "journal")
+SYLLABLES = ("th", "er", "on", "tion", "re", "ing", "sh", "ou", "ea", "le", "ment", "ka")
 SUFFIXES, PATHS = ("com", "net", "org"), ("/en/12", "/de/305/", "/fr/77.html", "/es/4")
 
 
 def labelled_table() -> list[tuple[str, str, int]]:
-    """(host, path, 1 to block): the stems, dealt over usual prefixes, suffixes and paths by a rule."""
-    rows = []
-    for label, stems in ((1, BLOCK_STEMS), (0, ALLOW_STEMS)):
+    """(host, path, 1 to block): the stems, dealt over usual prefixes, suffixes and paths by a rule.
+
+    To the clean stems come two neighbouring or alternate syllables with each other one in front.
+    """
+    rows, n = [], len(SYLLABLES)
+    plain = tuple(SYLLABLES[k * 5 % n] + SYLLABLES[k] + SYLLABLES[(k + 1 + k % 2) % n] for k in range(n))
+    for label, stems in ((1, BLOCK_STEMS), (0, ALLOW_STEMS + plain)):
         for k, (stem, prefix) in enumerate(product(stems, ("", "www.", "m.", "blog."))):
             rows.append((f"{prefix}{stem}.example.{SUFFIXES[k % 3]}", PATHS[k // 3 % 4], label))
     return rows
@@ -68,7 +73,7 @@ def features(host: str, path: str) -> list[int]:
 class UrlModel:
     """Logistic regression with L2 weight decay, by plain gradient steps on the whole table."""
 
-    def __init__(self, rows: list[tuple[str, str, int]], steps: int = 400, rate: float = 2.0, decay: float = 1e-3):
+    def __init__(self, rows: list[tuple[str, str, int]], steps: int = 1500, rate: float = 2.0, decay: float = 1e-4):
         x = [features(h, p) for h, p, _ in rows]
         y = np.array([label for *_, label in rows], dtype=np.float64)
         sizes = np.array([max(1, len(f)) for f in x])
