@@ -294,7 +294,7 @@ def _anchor_rows(length: int):
 def _cut_fragments(length: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 data = (text or "").encode("utf-8", "replace")
                 for w in wanted:
@@ -302,7 +302,8 @@ def _cut_fragments(length: int):
                     out[1].append(w["fragment"])
                     out[2].append(data[w["lo"] : w["at"]][::-1])
                     out[3].append(data[w["at"] : w["hi"] + length])
-            yield pa.record_batch({"hash": pa.array(out[0], pa.int64()), "fragment": pa.array(out[1], pa.int64()), "left": pa.array(out[2], pa.binary()), "right": pa.array(out[3], pa.binary())})
+                    out[4].append(w["kinds"])
+            yield pa.record_batch({"hash": pa.array(out[0], pa.int64()), "fragment": pa.array(out[1], pa.int64()), "left": pa.array(out[2], pa.binary()), "right": pa.array(out[3], pa.binary()), "kinds": pa.array(out[4], pa.int64())})
 
     return cut
 
@@ -319,10 +320,11 @@ def _resolve(length: int):
     return resolve
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, length: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, scratch: Scratch, length: int, block: int = 4096) -> DataFrame:
     """(row, start, end): stretches of each text's bytes that repeated windows cover; they may overlap.
 
-    ``docs`` has (row, text), with row a key of the id and text.
+    ``docs`` has (row, text), with row a key of the id and text. Where more than ``block`` different
+    fragments share an anchor they are dealt to blocks, and each two blocks are sorted in one task.
     """
     found = scratch.save(docs.mapInArrow(_anchor_rows(length), ANCHORS), "anchors")
     classes = found.groupBy("hash", "fragment").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "lo", "at", "hi")).alias("one"))
@@ -330,10 +332,14 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int) -> DataFrame:
     shared = classes.groupBy("hash").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1").select("hash", "kinds")
     classes2 = scratch.save(classes.join(shared, "hash"), "shared")
     release(docs.sparkSession)
-    compared = classes2.where("kinds > 1").select("one.row", F.struct("hash", "fragment", "one.lo", "one.at", "one.hi").alias("w")).groupBy("row").agg(F.collect_list("w").alias("wanted"))
-    fragments = scratch.save(docs.dropDuplicates(["row"]).join(compared, "row").select("text", "wanted").mapInArrow(_cut_fragments(length), "hash long, fragment long, left binary, right binary"), "fragments")
+    compared = classes2.where("kinds > 1").select("one.row", F.struct("hash", "fragment", "one.lo", "one.at", "one.hi", "kinds").alias("w")).groupBy("row").agg(F.collect_list("w").alias("wanted"))
+    fragments = scratch.save(docs.dropDuplicates(["row"]).join(compared, "row").select("text", "wanted").mapInArrow(_cut_fragments(length), "hash long, fragment long, left binary, right binary, kinds long"), "fragments")
     release(docs.sparkSession)
-    partial = fragments.groupBy("hash").applyInArrow(_resolve(length), "hash long, fragment long, before int, after int").where("after > 0")
+    blocks = F.ceil(F.col("kinds") / block).cast("int")
+    dealt = fragments.select("hash", "fragment", "left", "right", F.pmod(F.xxhash64("fragment"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("hash", "fragment", "left", "right", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
+    sorted_ = dealt.groupBy("hash", "first", "second").applyInArrow(_resolve(length), "hash long, fragment long, before int, after int").where("after > 0")
+    partial = sorted_.groupBy("hash", "fragment").agg(F.max("before").alias("before"), F.max("after").alias("after"))
     whole = classes2.where("c > 1").select("hash", "fragment")
     reach = partial.join(whole, ["hash", "fragment"], "left_anti").unionByName(whole.select("*", F.lit(1 << 30).alias("before"), F.lit(1 << 30).alias("after")))
     reach = scratch.save(reach, "reach")

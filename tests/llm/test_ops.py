@@ -272,6 +272,13 @@ def test_suffixes(docs, length):
     assert {k: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for k, r in got.items()} == brute_repeats(awkward(), length)
 
 
+def test_suffixes_in_blocks(docs, monkeypatch):
+    whole = suffixes.repeated_spans
+    monkeypatch.setattr(suffixes, "repeated_spans", lambda *a: whole(*a, block=2))
+    got = by_id(suffixes.remove_repeats(docs, 60))
+    assert {k: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for k, r in got.items()} == brute_repeats(awkward(), 60)
+
+
 def test_suffixes_of_nothing(none):
     assert suffixes.remove_repeats(none).count() == 0
 
