@@ -11,11 +11,11 @@ columns other than the id and the url are not read; an empty table gives an empt
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -25,22 +25,32 @@ from lexispan.llm.common import require
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 BUCKETS, SIZES = 1 << 14, (3, 4, 5)
-BLOCK_STEMS = ("ads", "track", "banner", "bets", "casino", "pills", "spam", "adult", "poker", "xxx", "win-prize", "cheap", "free-bets", "casino-win", "spam-farm", "ads-track", "cheap-pills", "adult-x", "payday-loan", "porn")
-ALLOW_STEMS = ("garden", "library", "museum", "theon", "tionre", "ththing", "school", "recipes", "physics", "history", "thander", "news", "weather", "council", "ereour", "handbook", "ingwhed", "music", "bleand", "journal")
-SYLLABLES = ("th", "er", "on", "tion", "re", "ing", "sh", "ou", "ea", "le", "ment", "ka")
-SUFFIXES, PATHS = ("com", "net", "org"), ("/en/12", "/de/305/", "/fr/77.html", "/es/4")
+# Plain words of unwanted and of ordinary sites, chosen without looking at any table of urls.
+BLOCK_WORDS = "casino poker slots jackpot bets betting lottery pills pharma viagra diet loan payday cash prize win cheap free ads adserver banner popup click track tracker spam malware phishing adult porn sex xxx cams escort warez crack torrent".split()
+ALLOW_WORDS = "garden library museum school recipes physics history news weather council handbook music journal kitchen bakery forest archive science river travel theatre church hospital railway geology atlas poetry village market farm harbour language painting chess cycling astronomy botany teacher novel mountain".split()
+PREFIXES, SUFFIXES, PATHS = ("", "www.", "m.", "blog."), ("com", "net", "org", "example.com", "example.org", "co.uk"), ("", "/", "/en/12", "/about", "/2019/05/item.html", "/index.php")
+
+
+def invented_words(n: int, seed: int = 7) -> list[str]:
+    """Pronounceable words of two to four syllables, by a seeded rule; most names of clean sites are unknown words."""
+    r = random.Random(seed)
+    syllable = lambda: r.choice("bcdfghjklmnprstvwz") + r.choice("aeiou") + r.choice(("", "", "l", "n", "r", "s", "t", "th", "ng"))
+    return ["".join(syllable() for _ in range(r.randint(2, 4))) for _ in range(n)]
 
 
 def labelled_table() -> list[tuple[str, str, int]]:
-    """(host, path, 1 to block): the stems, dealt over usual prefixes, suffixes and paths by a rule.
+    """(host, path, 1 to block): words, and pairs of words with and without a hyphen, under usual names.
 
-    To the clean stems come two neighbouring or alternate syllables with each other one in front.
+    One unwanted word makes a pair unwanted. Each stem is dealt one prefix, suffix and path after the
+    other, the same way for both labels.
     """
-    rows, n = [], len(SYLLABLES)
-    plain = tuple(SYLLABLES[k * 5 % n] + SYLLABLES[k] + SYLLABLES[(k + 1 + k % 2) % n] for k in range(n))
-    for label, stems in ((1, BLOCK_STEMS), (0, ALLOW_STEMS + plain)):
-        for k, (stem, prefix) in enumerate(product(stems, ("", "www.", "m.", "blog."))):
-            rows.append((f"{prefix}{stem}.example.{SUFFIXES[k % 3]}", PATHS[k // 3 % 4], label))
+    rows, n = [], len(ALLOW_WORDS)
+    mixed = [bad + "-" * (k % 2) + ALLOW_WORDS[(k + 9) % n] for k, bad in enumerate(BLOCK_WORDS)]
+    for label, words, more in ((1, BLOCK_WORDS, mixed), (0, ALLOW_WORDS, invented_words(400))):
+        n = len(words)
+        pairs = [words[k] + "-" * (k % 2) + words[(k + step) % n] for step in (5, 11) for k in range(n)]
+        for k, stem in enumerate(words + pairs + more):
+            rows.append((f"{PREFIXES[k % 4]}{stem}.{SUFFIXES[k // 4 % 6]}", PATHS[(k + k // 24) % 6], label))
     return rows
 
 
@@ -71,7 +81,7 @@ def features(host: str, path: str) -> list[int]:
 
 
 class UrlModel:
-    """Logistic regression with L2 weight decay, by plain gradient steps on the whole table."""
+    """Logistic regression with L2 weight decay, by plain gradient steps on the whole table; labels weigh the same."""
 
     def __init__(self, rows: list[tuple[str, str, int]], steps: int = 1500, rate: float = 2.0, decay: float = 1e-4):
         x = [features(h, p) for h, p, _ in rows]
@@ -79,10 +89,11 @@ class UrlModel:
         sizes = np.array([max(1, len(f)) for f in x])
         flat, owner = np.concatenate([np.array(f, dtype=np.int64) for f in x]), np.repeat(np.arange(len(x)), [len(f) for f in x])
         value = 1 / np.sqrt(sizes[owner])
+        weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
         self.weights, self.bias = np.zeros(BUCKETS), 0.0
         for _ in range(steps):
             score = np.bincount(owner, self.weights[flat] * value, len(x)) + self.bias
-            slope = 1 / (1 + np.exp(-score)) - y
+            slope = weight * (1 / (1 + np.exp(-score)) - y)
             self.weights -= rate * (np.bincount(flat, slope[owner] * value, BUCKETS) / len(x) + decay * self.weights)
             self.bias -= rate * (slope.mean() + decay * self.bias)
 

@@ -325,6 +325,16 @@ def test_url_model_held_out():
     assert hits >= 11
 
 
+def test_url_model_on_names_its_table_lacks():
+    model, known = urls.default_model(), {h for h, *_ in urls.labelled_table()}
+    n = len(urls.BLOCK_WORDS)
+    bad = [urls.BLOCK_WORDS[k] + "-" * (k % 2) + urls.BLOCK_WORDS[(k + step) % n] + ".example.net" for step in (3, 7) for k in range(n)]
+    clean = [f"www.{w}.org" for w in urls.invented_words(2000, seed=1234)]
+    assert not known & set(bad)
+    assert sum(model.probability(h, "/de/5") > 0.5 for h in bad) >= 0.9 * len(bad)
+    assert sum(model.probability(h, "/de/5") > 0.5 for h in clean) <= 0.01 * len(clean)
+
+
 # -- 8
 
 
