@@ -31,8 +31,8 @@ BOILER_TAGS = frozenset("nav header footer aside form menu dialog fieldset searc
 MAIN_TAGS = frozenset("article main".split())
 BOILER_NAMES = re.compile(r"(?i)(?:^|[\s_-])(?:ad(?:s|box|slot|unit|sense|vert\w*)?|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer\w*|foot|copyright|sidebar\w*|aside|widget\w*|related|share|sharing|social|comment\w*|disqus|reply|replies|respond|discussion|feedback|cookie\w*|consent|notice\w*|notif\w*|disclaimer|popup|modal|newsletter|subscri\w*|login|signup|search\w*|tags?|pager|pagination|skip\w*|toolbar|alert)(?:$|[\s_-])")
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*+(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"(?i)(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s\"'>]+))?")
+TOKEN = re.compile(r"<!--(?:-?>|.*?--!?>|.*)|<[!?][^>]*+(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|$)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
 
 
 class Block:
@@ -48,9 +48,10 @@ def _is_boiler(tag: str, attributes: str, in_main: bool) -> bool:
     if attributes and tag not in ("html", "body", "article", "main"):
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
-            if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in BOILER_ROLES:
                 return True
-            if name == "role" and value.lower() in BOILER_ROLES or name in ("class", "id") and BOILER_NAMES.search(value):
+            named = BOILER_NAMES.search(value) if name in ("class", "id") else None
+            if named and not (in_main and named[0].strip(" _-").lower() == "header"):  # an article's own heading
                 return True
     return False
 

@@ -349,6 +349,15 @@ def test_html(spark):
     assert html_text.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_attributes_and_comments():
+    nav = "<nav><a href=x>menu</a></nav>"
+    for inner, want in [
+        ("<p title='a hidden gem'>kept words here</p>", "kept words here"), ("<p hidden>gone</p><p>stays here</p>", "stays here"), ("<p title=it's>one two</p><p>don't go</p>", "one two don't go"),
+        ("<p data-x=\"role='form' id=ad\">read me</p>", "read me"), ("<!--><p>after</p><!-- x --!><p>more</p>", "after more"), ("<div class='entry-header'><h1>Title</h1></div><p>body</p>", "Title body"), ("<p>a &lt; b</p><p title=\"1>0\">c = d</p>", "a < b c = d"),
+    ]:
+        assert html_text.main_text(f"<body>{nav}<article>{inner}</article><footer>end</footer></body>") == want
+
+
 def test_html_tree_fits_its_table():
     for page, labels in html_text.labelled_pages():
         blocks = html_text.text_blocks(page)
