@@ -93,19 +93,18 @@ class _Batch:
             return
         sizes = np.array([len(u) for u in self.sets])
         tokens = np.concatenate(self.sets)
-        bucket = (tokens >> np.uint64(64 - self.bits)).astype(np.uint16)
+        bucket = (tokens >> np.uint64(64 - self.bits)).astype(np.uint16 if self.bits <= 16 else np.int32)
         owner = np.repeat(np.arange(len(sizes)), sizes)
         order = np.argsort(bucket, kind="stable")
         tokens, owner = tokens[order] >> np.uint64(64 - self.bits - TOKEN_BITS) & np.uint64((1 << TOKEN_BITS) - 1), owner[order]
-        ends = np.searchsorted(bucket[order], np.arange((1 << self.bits) + 1))
+        bucket = bucket[order]
+        begins = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         keys = np.array(list(self.keys), dtype=np.int64)
-        for b in range(1 << self.bits):
-            lo, hi = ends[b], ends[b + 1]
-            if lo < hi:
-                who, runs = np.unique(owner[lo:hi], return_counts=True)  # owners stand in order
-                heads = np.empty(len(who), dtype=HEAD)
-                heads["key"], heads["n"], heads["run"] = keys[who], sizes[who], runs
-                yield b, heads.tobytes(), pack40(tokens[lo:hi])
+        for lo, hi in zip(begins, np.r_[begins[1:], len(bucket)]):
+            who, runs = np.unique(owner[lo:hi], return_counts=True)  # owners stand in order
+            heads = np.empty(len(who), dtype=HEAD)
+            heads["key"], heads["n"], heads["run"] = keys[who], sizes[who], runs
+            yield int(bucket[lo]), heads.tobytes(), pack40(tokens[lo:hi])
 
 
 ROUTED = "bucket int, heads binary, tokens binary, id {kind}, key long, n long"
@@ -239,7 +238,7 @@ def shingle_classes(df: DataFrame, scratch: Scratch, percent: int, words: int, i
     spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
     docs = require(df, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    bits = max(5, int(size / 7 / 4_000_000).bit_length())  # about four million tokens to a bucket
+    bits = min(64 - TOKEN_BITS, max(5, int(size / 7 / 4_000_000).bit_length()))  # about four million tokens to a bucket
     parts = 1 << bits
     routed = docs.mapInArrow(_route(bits, words), ROUTED.format(kind=kind))
     counted = scratch.save(routed.groupBy("bucket").applyInArrow(_count(bits, parts), COUNTED.format(kind=kind)), "counted")

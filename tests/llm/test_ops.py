@@ -122,6 +122,22 @@ def test_jaccard_of_a_large_family(spark, monkeypatch):
     assert {k: (x["n_shingles"], x["component_id"]) for k, x in by_id(out).items()} == brute_components(rows)
 
 
+@pytest.mark.parametrize("bits", [5, 16, 20, 24])
+def test_jaccard_buckets(bits):
+    """Tokens keep their bits below the bucket number, however many buckets there are."""
+    sets = [jaccard.shingles(" ".join(f"w{k}x{i}" for i in range(300))) for k in range(4)]
+    batch = jaccard._Batch(bits)
+    keys, found = [batch.add(u) for u in sets], {}
+    for bucket, heads, tokens in batch.rows():
+        at, values = 0, jaccard.unpack40(tokens)
+        for key, n, run in np.frombuffer(heads, jaccard.HEAD).tolist():
+            found.setdefault(key, set()).update(bucket << 40 | int(x) for x in values[at : at + run])
+            assert n == len(sets[keys.index(key)])
+            at += run
+        assert at == len(values) and 0 <= bucket < 1 << bits
+    assert found == {k: {int(x) >> (64 - bits - 40) for x in u} for k, u in zip(keys, sets)}
+
+
 def test_jaccard_of_nothing(none):
     assert jaccard.near_duplicates(none).count() == 0
 
