@@ -27,11 +27,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays, once."""
-    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"]), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text", "lang", "source")
-    return kept.withColumn("nth_", F.row_number().over(order)).where("nth_ = 1").drop("nth_")
+    """Of each group of near duplicates the document of the smallest id stays, once.
+
+    A document is an id and a text: rows of one id, or of none, with other texts are documents of their
+    own, and stay unless they are near duplicates. In a group a null id comes last, and of one id's texts
+    the one of the least hash stays. Rows of the same id and text are one document.
+    """
+    mark = F.xxhash64("doc_id", "text")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), mark.alias("mark"))
+    groups = near_duplicates(docs.select(key.alias("key"), "text"), id_col="key")
+    first = groups.where(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key.mark").alias("mark_"), F.col("key.id").alias("id_")).distinct()
+    marked = docs.withColumn("mark_", mark)
+    kept = marked.join(first.withColumnRenamed("mark_", "kept_"), (F.col("mark_") == F.col("kept_")) & F.col("doc_id").eqNullSafe(F.col("id_")), "left_semi")
+    order = Window.partitionBy("mark_", "doc_id").orderBy("text", "lang", "source")
+    return kept.withColumn("nth_", F.row_number().over(order)).where("nth_ = 1").drop("nth_", "mark_")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -441,6 +441,19 @@ def test_pipeline_stages(spark, docs, none):
         assert stage(spark, none.select(*columns), "").count() == 0
 
 
+def test_pipeline_keeps_unlike_texts_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    text = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    near = lambda name: text(name, 39) + " other"
+    rows = [(None, text("a"), "en", "s"), (None, text("b"), "en", "s"), (None, text("b"), "de", None), (None, near("b"), "en", "s"), (7, text("c"), "en", "s"), (7, text("d"), "en", "s")]
+    rows += [(7, text("c"), "de", "s"), (9, near("d"), "en", "s"), (None, near("d"), "en", "s"), (8, text("e"), "en", "s"), (None, text("e"), "en", "s")]
+    df = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in p.one_of_each_group(spark, df, "").collect()]
+    assert len(got) == len(set(got)) == 5
+    assert set(got) - {(None, text("b")), (None, near("b"))} == {(None, text("a")), (7, text("c")), (7, text("d")), (8, text("e"))}
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 
