@@ -5,6 +5,10 @@ count and link density, those of its neighbours, and the kind of region it stand
 and the like; article; heading). A decision tree, grown here from a small labelled table of
 blocks, keeps or drops each block. Kept blocks are joined in page order.
 
+Classes and ids name regions. Inside article and main, where sections and headings are called by their
+titles, ids of sections, headings and inline tags are not read; their classes, and ids of other tags,
+count only by names that no title is likely to give (comments, adverts; share bars by class).
+
 Defined cases: a null or empty page gives an empty text; markup may be broken or cut off anywhere (an
 unfinished tag, comment, script or style runs to the end of the page); repeated rows give repeated
 rows; columns other than id, url and html are not read; an empty table gives an empty result.
@@ -29,7 +33,16 @@ RAW_TAGS = frozenset("script style textarea title noscript template svg math ifr
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BOILER_TAGS = frozenset("nav header footer aside form menu dialog fieldset search head".split())
 MAIN_TAGS = frozenset("article main".split())
-BOILER_NAMES = re.compile(r"(?i)(?:^|[\s_-])(?:ad(?:s|box|slot|unit|sense|vert\w*)?|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer\w*|foot|copyright|sidebar\w*|aside|widget\w*|related|share|sharing|social|comment\w*|disqus|reply|replies|respond|discussion|feedback|cookie\w*|consent|notice\w*|notif\w*|disclaimer|popup|modal|newsletter|subscri\w*|login|signup|search\w*|tags?|pager|pagination|skip\w*|toolbar|alert)(?:$|[\s_-])")
+HEADING = re.compile("h[1-6]")
+NAMED = r"(?i)(?:^|[\s_-])(?:{})(?:$|[\s_-])"
+#: Names that no section of an article is likely to have, and those that it may have by its title.
+CLEAR_NAMES = r"ad(?:s|box|slot|unit|sense|vert\w*)?|banner\w*|sponsor\w*|promo\w*|breadcrumbs?|masthead|footer\w*|sidebar\w*|widget\w*|comment\w*|disqus|replies|respond|popup|modal|newsletter|subscri\w*|signup|pager|pagination|toolbar"
+SHARE_NAMES = r"share|sharing"
+OTHER_NAMES = r"nav\w*|menu\w*|foot|copyright|aside|related|social|reply|discussion|feedback|cookie\w*|consent|notice\w*|notif\w*|disclaimer|login|search\w*|tags?|skip\w*|alert"
+BOILER_NAMES = re.compile(NAMED.format(f"{CLEAR_NAMES}|{SHARE_NAMES}|{OTHER_NAMES}|header"))
+MAIN_CLASSES = re.compile(NAMED.format(f"{CLEAR_NAMES}|{SHARE_NAMES}|{OTHER_NAMES}"))  # an article's own heading stays
+MAIN_PART_CLASSES = re.compile(NAMED.format(f"{CLEAR_NAMES}|{SHARE_NAMES}"))
+MAIN_IDS = re.compile(NAMED.format(CLEAR_NAMES))
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 TOKEN = re.compile(r"<!--(?:-?>|.*?--!?>|.*)|<[!?][^>]*+(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
@@ -42,6 +55,16 @@ class Block:
         self.text, self.words, self.linked, self.boiler, self.main, self.heading = text, words, linked, boiler, main, heading
 
 
+def _names(tag: str, name: str, in_main: bool) -> re.Pattern | None:
+    """The names that make a region of boilerplate, as class or id of such a tag."""
+    if not in_main:
+        return BOILER_NAMES
+    part = tag == "section" or tag not in BLOCK_TAGS or HEADING.fullmatch(tag)
+    if name == "id":
+        return None if part else MAIN_IDS
+    return MAIN_PART_CLASSES if part else MAIN_CLASSES
+
+
 def _is_boiler(tag: str, attributes: str, in_main: bool) -> bool:
     if tag in BOILER_TAGS and not (tag == "header" and in_main):
         return True
@@ -50,8 +73,7 @@ def _is_boiler(tag: str, attributes: str, in_main: bool) -> bool:
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in BOILER_ROLES:
                 return True
-            named = BOILER_NAMES.search(value) if name in ("class", "id") else None
-            if named and not (in_main and named[0].strip(" _-").lower() == "header"):  # an article's own heading
+            if name in ("class", "id") and (names := _names(tag, name, in_main)) and names.search(value):
                 return True
     return False
 
@@ -107,7 +129,7 @@ def text_blocks(page: str) -> list[Block]:
                 links = links if tag in ("br", "li", "div", "p") else 0
             if tag in VOID_TAGS:
                 continue
-            if re.fullmatch("h[1-6]", tag):
+            if HEADING.fullmatch(tag):
                 heading = not closing
             if not closing:
                 if tag == "p" or tag == "li":  # these end with the next of their kind
@@ -205,6 +227,7 @@ def labelled_pages() -> list[tuple[str, list[int]]]:
         (f'<div class="comments">{p(25)}{p(60)}</div>', 2), (f"<footer>&copy; site {' '.join(prose(14))}</footer>", 1), (f'<section class="related">{links(3)}</section>', 3),
     ]
     articles = [(1, 3), (2, 1, 55), (30, 80, 1, 12), (120, 4, 60), (9,), (45, 18, 33, 7, 200)]
+    names = [("discussion", "related-work"), ("feedback", "notice"), ("search-methods", "navigation"), ("social", "tags"), ("skip-lists", "alert"), ("share", "login")]
     pages = []
     for k, sizes in enumerate(articles):
         for wrapped in (True, False):
@@ -216,6 +239,10 @@ def labelled_pages() -> list[tuple[str, list[int]]]:
             labels += [1] * (wrapped + len(sizes_here))
             if wrapped and k % 2:
                 inner, labels = inner + boiler[3][0] + boiler[7][0], labels + [0] * 3
+            if wrapped:  # parts of an article that are called like boilerplate
+                name, other = names[k]
+                inner += f'<section id="{name}"><h2 id="{other}">{" ".join(prose(2))}</h2>{p(18 + 9 * k)}</section><div id="{other}"><p>{" ".join(prose(5))} <span class="tag">{" ".join(prose(3))}</span></p></div>'
+                labels += [1, 1, 1]
             body += f"<article>{inner}</article>" if wrapped else f"<div>{inner}</div>{links(2)}"
             labels += [] if wrapped else [0, 0]
             if not wrapped:

@@ -374,6 +374,21 @@ def test_html_attributes_and_comments():
         assert html_text.main_text(f"<body>{nav}<article>{inner}</article><footer>end</footer></body>") == want
 
 
+def test_html_sections_named_like_boilerplate():
+    nav = "<nav><a href=x>menu</a></nav>"
+    for name in ("discussion", "feedback", "related", "share", "social", "notice", "alert", "search-engines", "navigation", "tags", "skip-lists"):
+        for inner, want in [
+            (f"<p>first words</p><section id='{name}'><p>second part here</p></section>", "first words second part here"), (f"<div id={name}><p>some words of it</p></div>", "some words of it"),
+            (f"<h2 id='{name}-work'>A heading</h2><p>and its text</p>", "A heading and its text"),
+        ]:
+            for main in ("article", "main"):
+                assert html_text.main_text(f"<body>{nav}<{main}>{inner}</{main}><footer>end</footer></body>") == want, (name, inner)
+        assert html_text.main_text(f"<body><article><p>kept words here</p></article><div id='{name}'><p>not of the article</p></div></body>") == "kept words here"
+    assert html_text.main_text(f"<body>{nav}<article><p>words <span class='tag'>out</span> of a sentence</p></article></body>") == "words out of a sentence"
+    for boiler in ("<div class='comments'><p>I like this article a lot</p></div>", "<section class='comments-area'><p>I like it</p></section>", "<div id='comments'><p>I like it</p></div>", "<section class='ad'>Buy now</section>", "<div class='share'><p>Send it to a friend</p></div>", "<div class='entry-header ads'><p>Buy now</p></div>"):
+        assert html_text.main_text(f"<body>{nav}<article><p>kept words here</p>{boiler}</article></body>") == "kept words here", boiler
+
+
 def test_html_tree_fits_its_table():
     for page, labels in html_text.labelled_pages():
         blocks = html_text.text_blocks(page)
