@@ -10,7 +10,9 @@ titles, ids of sections, headings and inline tags are not read; their classes, a
 count only by names that no title is likely to give (comments, adverts; share bars by class).
 
 Defined cases: a null or empty page gives an empty text; markup may be broken or cut off anywhere (an
-unfinished tag, comment, script or style runs to the end of the page); repeated rows give repeated
+unfinished tag, comment or raw-text element such as a script or style runs to the end of the page; a
+button, select, object, noscript, template, svg or math without an end tag of its own ends with the
+element it stands in or at the next block-level tag); repeated rows give repeated
 rows; columns other than id, url and html are not read; an empty table gives an empty result.
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +32,9 @@ from lexispan.llm.common import require
 
 # Tags of HTML by what they do to text.
 BLOCK_TAGS = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
-RAW_TAGS = frozenset("script style textarea title noscript template svg math iframe object select button xmp noembed noframes".split())
+RAW_TAGS = frozenset("script style textarea title xmp iframe noembed noframes".split())
+SKIPPED_TAGS = frozenset("noscript template svg math object select button".split())
+SKIPPED_PARTS = frozenset("option optgroup legend button select".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BOILER_TAGS = frozenset("nav header footer aside form menu dialog fieldset search head".split())
 MAIN_TAGS = frozenset("article main".split())
@@ -78,6 +83,38 @@ def _is_boiler(tag: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
+def _raw_end(page: str, tag: str, at: int) -> int:
+    stop = re.compile(rf"(?i)</{tag}(?=[\s/>])[^>]*>?").search(page, at)
+    return stop.end() if stop else len(page)
+
+
+def _skipped_ends(page: str) -> dict[int, int]:
+    """Where each element of SKIPPED_TAGS ends, by the end of its start tag; none for one whose end tag is missing."""
+    ends: dict[int, int] = {}
+    open_: list[tuple[str, int]] = []
+    held: Counter[str] = Counter()
+    at = 0
+    while m := TOKEN.search(page, at):
+        at, tag = m.end(), (m[2] or "").lower()
+        if tag in RAW_TAGS and not m[1] and not m[3].rstrip().endswith("/"):
+            at = _raw_end(page, tag, at)
+        elif tag in VOID_TAGS or tag not in BLOCK_TAGS and tag not in SKIPPED_TAGS:
+            continue
+        elif not m[1]:
+            if not (tag in SKIPPED_TAGS and m[3].rstrip().endswith("/")):
+                open_.append((tag, at))
+                held[tag] += 1
+        elif held[tag]:
+            while True:
+                name, start = open_.pop()
+                held[name] -= 1
+                if name == tag:
+                    break
+            if tag in SKIPPED_TAGS:
+                ends[start] = at
+    return ends
+
+
 def text_blocks(page: str) -> list[Block]:
     """The flat blocks of a page, in order, without scripts, styles, comments and markup."""
     blocks: list[Block] = []
@@ -86,6 +123,8 @@ def text_blocks(page: str) -> list[Block]:
     linked_parts: list[str] = []
     boiler = main = links = 0
     heading = False
+    unended: int | None = None  # place in the stack of an element without an end tag of its own
+    skipped: dict[int, int] | None = None
 
     def close() -> None:
         nonlocal linked_parts
@@ -116,13 +155,34 @@ def text_blocks(page: str) -> list[Block]:
         if not tag:
             continue
         closing = bool(m[1])
+        if unended is not None and len(stack) <= unended:
+            unended = None
         if tag in RAW_TAGS and not closing and not m[3].rstrip().endswith("/"):
             if tag in BLOCK_TAGS:
                 close()
-            stop = re.compile(rf"(?i)</{tag}(?=[\s/>])[^>]*>?").search(page, at)
-            at = stop.end() if stop else end
+            at = _raw_end(page, tag, at)
+        elif tag in SKIPPED_TAGS and not closing:
+            if tag in BLOCK_TAGS:
+                close()
+            if m[3].rstrip().endswith("/"):
+                continue
+            if skipped is None:
+                skipped = _skipped_ends(page)
+            if at in skipped:
+                at = skipped[at]
+            else:  # its end tag is missing
+                close()
+                unended = len(stack) if unended is None else unended
+                stack.append((tag, True, False))
+                boiler += 1
         elif tag == "a":
             links = 0 if closing else 1
+        elif unended is not None and not closing and tag in BLOCK_TAGS and tag not in SKIPPED_PARTS and tag not in VOID_TAGS:
+            close()
+            while len(stack) > unended:
+                _, b, a = stack.pop()
+                boiler, main = boiler - b, main - a
+            unended, at = None, m.start()
         elif tag in BLOCK_TAGS or not closing and m[3] and tag not in VOID_TAGS and _is_boiler(tag, m[3], main > 0):
             close()
             if tag in BLOCK_TAGS and tag not in ("a",):

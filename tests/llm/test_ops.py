@@ -389,6 +389,21 @@ def test_html_sections_named_like_boilerplate():
         assert html_text.main_text(f"<body>{nav}<article><p>kept words here</p>{boiler}</article></body>") == "kept words here", boiler
 
 
+def test_html_elements_without_end_tags():
+    article = "<article><h1>The title</h1><p>words of it</p></article>"
+    for tag in ("button", "select", "object", "noscript", "svg", "math", "template"):
+        for page, want in [
+            (f"<nav><{tag}>Menu</nav>{article}", "The title words of it"), (f"<body><{tag}>Menu {article}", "The title words of it"), (f"<nav><{tag} class=x>Menu</nav>{article}<footer><{tag}>B</{tag}></footer>", "The title words of it"),
+            (f"<div><{tag}>Menu<div>{article}</div></div>", "The title words of it"), (f"<article><p>one <{tag}>Menu</p><p>two</p></article>", "one two"), (f"<{tag}>{article}</{tag}><article>seen</article>", "seen"),
+            (f"<article><p>one <{tag}><{tag}>in</{tag}></{tag}></p><p>two</p></article>", "one two"), (f"<article>x<{tag}>" * 3 + "gone", "x x x"),
+        ]:
+            assert html_text.main_text(page) == want, page
+    assert [b.text for b in html_text.text_blocks("<p>let <math><mi>x</mi></math> be <svg><title>t</title></svg> so</p>")] == ["let be so"]
+    for tag in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"):
+        assert html_text.main_text(f"<article>x<{tag}>{article}") == "x"
+    assert html_text.main_text("<article>" + "<button>" * 20000 + "</button>") == ""
+
+
 def test_html_tree_fits_its_table():
     for page, labels in html_text.labelled_pages():
         blocks = html_text.text_blocks(page)
