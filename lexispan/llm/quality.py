@@ -8,7 +8,7 @@ group of any size is summed up before it is shuffled and no group meets in one t
 
 Defined cases: a null text has no words and fails the base rules; null language or source is a group
 of its own; groups of fewer than ``least`` rows share the estimate of their language's small groups,
-and these, if still few, a common one; without enough rows anywhere only the base rules count;
+and these, if still few, a common one; where that too has fewer, only the base rules count;
 repeated rows give repeated rows; the input's other columns are kept apart and cannot clash.
 """
 
@@ -98,9 +98,11 @@ def robust_quality(df: DataFrame, cutoff: float = 32.0, share: float = 0.75, ste
     small = F.when(F.col("n") < least, F.col("n")).otherwise(0)
     few = F.sum(small).over(Window.partitionBy("lang_"))
     grp = F.when(F.col("n") >= least, F.concat_ws("\t", "lang_", "source_")).when(few >= least, F.col("lang_")).otherwise("")
-    groups = scratch.save(sizes.select("lang_", "source_", grp.alias("grp")), "groups")
-    named = named.join(groups, ["lang_", "source_"], "left").drop("lang_", "source_").withColumn("grp", F.coalesce("grp", F.lit("")))
-    plain = named.where(~F.col("base_failed")).select("grp", *[f"x_{i}" for i in range(P)])
+    groups = scratch.save(sizes.select("lang_", "source_", "n", grp.alias("grp")), "groups")
+    rest = groups.where("grp = ''").agg(F.sum("n")).first()[0] or 0
+    named = named.join(groups.drop("n"), ["lang_", "source_"], "left").drop("lang_", "source_").withColumn("grp", F.coalesce("grp", F.lit("")))
+    judgeable = ~F.col("base_failed") if rest >= least else ~F.col("base_failed") & (F.col("grp") != "")
+    plain = named.where(judgeable).select("grp", *[f"x_{i}" for i in range(P)])
 
     # start: medians, and medians of absolute deviations from them
     values = plain.select("grp", F.posexplode(F.array(*[f"x_{i}" for i in range(P)])).alias("i", "x"))

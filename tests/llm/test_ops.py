@@ -210,6 +210,20 @@ def test_quality_outliers(spark, none):
     assert robust_quality(none).count() == 0
 
 
+def test_quality_without_enough_rows(spark):
+    r = random.Random(4)
+    prose = lambda n, end="": " ".join(f"word{r.randrange(900)}{end}" for _ in range(n))
+    rows = [(k, prose(40 + k), "en", "s") for k in range(80)] + [(80, prose(60, "###"), "en", "s")]
+    few = [(100 + k, prose(40 + k), ("fi", "et", None)[k % 3], "s") for k in range(11)] + [(111, prose(60, "###"), "lv", "s"), (112, "too few", "lv", "s")]
+    more = [(200 + k, prose(40 + k), "fi" if k % 2 else "et", f"s{k % 9}") for k in range(50)]
+    judge = lambda rows: {x["row"]["doc_id"]: (x["kept"], x["distance"] is None) for x in robust_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    got = judge(rows + few)
+    assert {k: v for k, v in got.items() if k >= 100} == {k: (k != 112, True) for k in range(100, 113)}
+    assert got[80] == (False, False) and not any(none for k, (_, none) in got.items() if k < 80)
+    got = judge(few + more)  # together enough for the common estimate
+    assert got[111] == (False, False) and not any(none for k, (_, none) in got.items() if k != 112)
+
+
 # -- 5, 10
 
 
