@@ -3,7 +3,7 @@
 The tree is fitted on the driver to a bounded sample (``sample`` vectors of the lowest hashed ids).
 Every vector then goes down to its leaf. A query takes nodes from a priority queue, best centroid
 first, until it has visited as many leaves as calibration found to reach the wanted recall on held
-sample queries. Visits and vectors meet in cells: groups of neighbouring leaves, split by a hash
+sample queries, and these hold more vectors than asked for. Visits and vectors meet in cells: groups of neighbouring leaves, split by a hash
 where they hold many vectors, so that no cell is large; each cell answers a block of queries with its
 best rows, and these are ranked at the end.
 
@@ -76,14 +76,18 @@ class KMeansTree:
         down(0, np.arange(len(x)))
         return out
 
-    def visit(self, query: np.ndarray, most: int) -> list[int]:
-        """Leaves in best-bin-first order: the open node of largest inner product comes next."""
+    def visit(self, query: np.ndarray, most: int, counts: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """Leaves in best-bin-first order: the open node of largest inner product comes next.
+
+        It stops after ``most`` leaves, but not before these hold ``least`` vectors by ``counts``.
+        """
         score = self.centroid_matrix @ query
-        heap, out = [(0.0, 0)], []
-        while heap and len(out) < most:
+        heap, out, held = [(0.0, 0)], [], 0
+        while heap and (len(out) < most or held < least):
             _, node = heapq.heappop(heap)
             if not self.children[node]:
                 out.append(self.leaf_of_node[node])
+                held += 0 if counts is None else counts[out[-1]]
             for child in self.children[node]:
                 heapq.heappush(heap, (-score[child], child))
         return out
@@ -140,7 +144,11 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame | None = None, k: int =
             yield pa.record_batch({"id": b.column(0), "v": b.column(1), "leaf": pa.array(leaf, pa.int32())})
 
     index = scratch.save(rows.mapInArrow(to_leaves, "id long, v array<double>, leaf int"), "index")
-    counts = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}  # at most as many rows as leaves
+    counted = index.groupBy("leaf").agg(F.count(F.lit(1)).alias("count"), F.countDistinct("id").alias("ids")).collect()  # at most as many rows as leaves
+    counts = {r["leaf"]: r["count"] for r in counted}
+    leaf_ids = np.zeros(tree.leaves, dtype=np.int64)
+    for r in counted:
+        leaf_ids[r["leaf"]] = r["ids"]
     group_of, parts_of, held_rows = {}, [], 0
     for leaf in range(tree.leaves):
         if not parts_of or held_rows + counts.get(leaf, 0) > cell_rows and held_rows:
@@ -170,7 +178,7 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame | None = None, k: int =
             ids, vectors = b.column(0).to_numpy(), matrix(b.column(1))
             for r in range(len(b)):
                 by_group: dict[int, list[int]] = {}
-                for leaf in tree.visit(vectors[r], visits):
+                for leaf in tree.visit(vectors[r], visits, leaf_ids, k + 1):
                     by_group.setdefault(group_of[leaf], []).append(leaf)
                 for g, found in by_group.items():
                     for c in range(first_cell[g], first_cell[g + 1]):

@@ -183,6 +183,15 @@ def test_neighbours_few_and_none(spark):
     assert [r["vec_id"] for r in got] == [0, 1, 2]
 
 
+def test_neighbours_are_never_fewer_than_asked_for(spark):
+    """Tight clusters, and a calibration that is content with few leaves."""
+    r = np.random.default_rng(5)
+    x = (np.repeat(r.normal(size=(40, 8)), 15, axis=0) + r.normal(size=(600, 8)) * 0.01).tolist()
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x)], SCHEMA)
+    got = nearest_neighbours(df, df.where("vec_id % 10 = 0"), recall=0.05).groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).collect()
+    assert len(got) == 60 and {g["n"] for g in got} == {20}
+
+
 # -- 4
 
 
