@@ -71,7 +71,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", one_of_each_group), ("suffix-array dedup", without_repeats), ("best-fit packing", packed)]
 
-#: Covariance estimates, shingle joins and tokenizers have no SQL; tests hold the stages against brute force.
+#: Covariance estimates, shingle joins and tokenizers have no SQL; tests hold run() over a small table against brute force.
 ORACLE_SQL = None
 
 

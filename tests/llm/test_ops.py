@@ -507,6 +507,56 @@ def test_pipeline_keeps_unlike_texts_of_null_and_repeated_ids(spark):
     assert set(got) - {(None, text("b")), (None, near("b"))} == {(None, text("a")), (7, text("c")), (7, text("d")), (8, text("e"))}
 
 
+def test_pipeline_against_brute_force(spark, library, tmp_path):
+    """Ids and texts after each stage, and the packed pieces; groups are too small for estimates of quality."""
+    import glob
+
+    import corpus_pipeline as p
+
+    text = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    passage = text("pass", 90)
+    rows = [(1, None), (2, ""), (3, "only a few words"), (4, text("again", 8) + (" same five words come back" * 9)), (5, text("long", 3000)), (6, text("near")), (7, text("near", 39) + " other"), (None, text("near")), (6, text("near"))]
+    rows += [(None, text("a")), (None, text("b")), (None, text("b")), (8, text("c")), (8, text("d")), (9, text("d", 39) + " other"), (10, "é🙂 " + text("plain") + " ü")]
+    rows += [(20, text("e") + " é" + passage + "é " + text("f")), (21, text("g") + " ©" + passage + "è " + text("h")), (None, text("i") + " " + passage), (22, passage + "\n" + text("j", 60)), (23, text("k", 12) + passage.upper())]
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    folders = lambda: set(glob.glob(spark.conf.get("spark.checkpoint.dir") + "/lexispan-pipeline-*"))
+    earlier = folders()
+    packed = p.run(spark, str(tmp_path)).collect()
+    (folder,) = folders() - earlier
+    stage = lambda k: spark.read.parquet(f"{folder}/stage{k}").collect()
+    same = lambda got, want: Counter((r["doc_id"], r["text"], r["n_chars"]) for r in got) == Counter((k, t, len(t)) for k, t in want)
+
+    def good(t):
+        w = WORDS.findall(t or "")
+        seen = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        return len(w) >= 10 and 5 * len({j for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}) <= len(w)
+
+    kept = [(k, t) for k, t, *_ in rows if good(t)]
+    assert len(kept) == len(rows) - 4 and same(stage(0), kept)
+    first = {}
+    for n, (_, label) in brute_components([(n, t) for n, (_, t) in enumerate(kept)]).items():
+        first[label] = min(first.get(label, n), n, key=lambda m: (kept[m][0] is None, kept[m][0] or 0, m))
+    kept = [kept[n] for n in first.values()]
+    assert [k for k, _ in kept].count(None) == 3 and [k for k, _ in kept].count(8) == 2 and same(stage(1), kept)
+    data = [t.encode() for _, t in kept]
+    seen = Counter(d[i : i + 400] for d in data for i in range(len(d) - 399))
+    rest = []
+    for (k, t), d in zip(kept, data):
+        gone = {j for i in range(len(d) - 399) if seen[d[i : i + 400]] > 1 for j in range(i, i + 400)}
+        at, left = 0, ""
+        for c in t:
+            size = len(c.encode())
+            left, at = left + c * (not gone & set(range(at, at + size))), at + size
+        rest.append((k, left))
+    assert sum(a != b for a, b in zip(kept, rest)) == 4 and not any("é" in t for k, t in rest if k == 20) and same(stage(2), rest)
+    want = Counter()
+    for k, t in rest:
+        ids = np.array([*ids_of(library, t), 0], dtype="<u4")
+        want.update((k, n, s, size, zlib.crc32(ids[s : s + size].tobytes())) for n, (s, size) in enumerate(packing.cut(len(ids), 2048)))
+    assert len(want) > len(rest) and Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == want
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 
