@@ -12,6 +12,13 @@ common if their common bytes before and after the anchor reach ``length`` togeth
 intervals of the suffix order from the longest common prefix down, with the members of each interval
 in the order of the other side, finds for each fragment how far its repeated windows reach.
 
+Where more than ``block`` different fragments share an anchor they are dealt to blocks. Each block is
+sorted by itself; windows that stand in several blocks are found by their hashes, of which a block
+sends each once, so the work grows with the number of fragments and no two blocks meet.
+
+Fragments and, across blocks, windows count as equal if two 64-bit hashes are (of the anchor's bytes
+and of the whole). For k of them at one anchor a false match is less likely than k**2 / 2**65.
+
 Defined cases: null and empty texts have no bytes; texts shorter than ``length`` keep all; repeated
 rows are repeats of each other; matches never cross texts; only id and text are read; an empty table
 gives an empty result.
@@ -20,6 +27,7 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -31,7 +39,8 @@ from pyspark.sql import functions as F
 from lexispan.llm.common import Scratch, release, require
 
 GRAM = 32
-PLACE_BITS = 28
+#: Windows of one text are taken so many at a time, which bounds memory; places in such a part need the bits below.
+PART, PLACE_BITS = 1 << 20, 22
 BASE, UNBASE = np.uint64(0xD1342543DE82EF95), np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 SALT = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -73,11 +82,15 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(text: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """(hash, fragment, lo, at, hi): anchors of a text; their windows start from lo to hi."""
+def anchors(text: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hash, fragment, lo, at, hi), part by part: anchors of a text; their windows start from lo to hi."""
+    for start in range(0, len(text) - length + 1, PART):
+        hash_, whole, *places = _part_anchors(text[start : start + PART + length - 1], length)
+        yield hash_, whole, *[x + start for x in places]
+
+
+def _part_anchors(text: bytes, length: int) -> tuple[np.ndarray, ...]:
     gram = min(GRAM, length)
-    if len(text) < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
     data = np.frombuffer(text, np.uint8)
     rolling = RollingHash(data)
     places = np.arange(len(data) - gram + 1)
@@ -92,6 +105,14 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, ...]:
     return grams[at].view(np.int64), whole.view(np.int64), lo, at, hi
 
 
+def window_hashes(left: bytes, right: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of the windows of a fragment; the hash covers the window and its place at the anchor."""
+    data = np.frombuffer(left[::-1] + right, np.uint8)
+    start = np.arange(max(0, len(data) - length + 1))
+    place = len(left) - start
+    return _mixed(RollingHash(data).of(start, start + length) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64), start
+
+
 # -- deep-shallow sorting ---------------------------------------------------------------------
 
 
@@ -273,118 +294,236 @@ def reaches(lefts: list[bytes], rights: list[bytes], length: int, known: int) ->
 
 # -- the operator -----------------------------------------------------------------------------
 
-ANCHORS = "row long, hash long, fragment long, lo int, at int, hi int"
+ANCHORS = "row long, hash long, fragment long, lo long, at long, hi long"
+MOST_ANCHORS, MOST_BYTES = 100_000, 8 << 20
+
+
+def _bytes_of(value: pa.Scalar) -> bytes:
+    return value.as_buffer().to_pybytes() if value.is_valid else b""
 
 
 def _anchor_rows(length: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit() -> pa.RecordBatch:
+            cols = [np.concatenate([x[k] for x in held]).astype(np.int64) for k in range(5)]
+            keys = np.repeat(np.array(owners, dtype=np.int64), [len(x[0]) for x in held])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (keys, *cols)], ["row", "hash", "fragment", "lo", "at", "hi"])
+
+        held, owners, n = [], [], 0
         for b in batches:
-            keys, parts, sizes = b.column(0).to_numpy(), [], []
-            for text in b.column(1).to_pylist():
-                found = anchors((text or "").encode("utf-8", "replace"), length)
-                parts.append(found)
-                sizes.append(len(found[0]))
-            cols = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(5)]
-            arrays = [pa.array(np.repeat(keys, sizes), pa.int64()), *[pa.array(c.astype(t), k) for c, t, k in zip(cols, (np.int64, np.int64, np.int32, np.int32, np.int32), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))]]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "hash", "fragment", "lo", "at", "hi"])
+            for key, text in zip(b.column(0).to_numpy().tolist(), b.column(1)):
+                for found in anchors(_bytes_of(text), length):
+                    held.append(found)
+                    owners.append(key)
+                    n += len(found[0])
+                    if n > MOST_ANCHORS:
+                        yield emit()
+                        held, owners, n = [], [], 0
+        if held:
+            yield emit()
 
     return rows
 
 
+FRAGMENTS = pa.schema([("hash", pa.int64()), ("fragment", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("kinds", pa.int64())])
+
+
 def _cut_fragments(length: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                data = (text or "").encode("utf-8", "replace")
-                for w in wanted:
-                    out[0].append(w["hash"])
-                    out[1].append(w["fragment"])
-                    out[2].append(data[w["lo"] : w["at"]][::-1])
-                    out[3].append(data[w["at"] : w["hi"] + length])
-                    out[4].append(w["kinds"])
-            yield pa.record_batch({"hash": pa.array(out[0], pa.int64()), "fragment": pa.array(out[1], pa.int64()), "left": pa.array(out[2], pa.binary()), "right": pa.array(out[3], pa.binary()), "kinds": pa.array(out[4], pa.int64())})
+            for text, wanted in zip(b.column(0), b.column(1)):
+                data = _bytes_of(text)
+                for w in wanted.as_py():
+                    out.append((w["hash"], w["fragment"], data[w["lo"] : w["at"]][::-1], data[w["at"] : w["hi"] + length], w["kinds"]))
+                    size += w["hi"] + length - w["lo"]
+                    if size > MOST_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), FRAGMENTS)], schema=FRAGMENTS)
+                        out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), FRAGMENTS)], schema=FRAGMENTS)
 
     return cut
 
 
+REACH = "hash long, fragment long, before long, after long"
+
+
+def _reach_of(t: pa.Table, length: int) -> tuple[list[bytes], list[bytes], list[int], list[int]]:
+    lefts, rights = t["left"].to_pylist(), t["right"].to_pylist()
+    known = min(GRAM, length)
+    if len({r[:known] for r in rights}) > 1:  # hashes collided: compare from the start
+        known = 0
+    return lefts, rights, *(reaches(lefts, rights, length, known) if lefts else ([], []))
+
+
 def _resolve(length: int):
     def resolve(t: pa.Table) -> pa.Table:
-        lefts, rights = t["left"].to_pylist(), t["right"].to_pylist()
-        known = min(GRAM, length)
-        if len({r[:known] for r in rights}) > 1:  # hashes collided: compare from the start
-            known = 0
-        before, after = reaches(lefts, rights, length, known)
-        return pa.table({"hash": t["hash"], "fragment": t["fragment"], "before": pa.array(before, pa.int32()), "after": pa.array(after, pa.int32())})
+        _, _, before, after = _reach_of(t, length)
+        return pa.table({"hash": t["hash"], "fragment": t["fragment"], "before": pa.array(before, pa.int64()), "after": pa.array(after, pa.int64())})
+
+    return resolve
+
+
+def _resolve_block(length: int):
+    def resolve(t: pa.Table, elsewhere: pa.Table) -> pa.Table:
+        """The same for a block, with the windows that other blocks hold as well."""
+        lefts, rights, before, after = _reach_of(t, length)
+        known = np.unique(elsewhere["window"].to_numpy())
+        for i, (left, right) in enumerate(zip(lefts, rights)):
+            windows, start = window_hashes(left, right, length)
+            found = start[np.isin(windows, known)]
+            if len(found):
+                before[i], after[i] = max(before[i], len(left) - int(found[0])), max(after[i], int(found[-1]) + length - len(left))
+        return pa.table({"hash": t["hash"], "fragment": t["fragment"], "before": pa.array(before, pa.int64()), "after": pa.array(after, pa.int64())})
 
     return resolve
 
 
+def _windows(length: int):
+    def windows(key: tuple, t: pa.Table) -> pa.Table:
+        """The distinct windows of a block of fragments."""
+        found = np.unique(np.concatenate([window_hashes(a.as_py(), b.as_py(), length)[0] for a, b in zip(t["left"], t["right"])]))
+        return pa.table({"hash": pa.array([key[0].as_py()] * len(found), pa.int64()), "own": pa.array([key[1].as_py()] * len(found), pa.int32()), "window": pa.array(found, pa.int64())})
+
+    return windows
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, spans) of spans in order of row and start; of a row only its merged spans are held."""
+    row, spans, out, size = None, [], [], 0
+
+    def emit() -> pa.RecordBatch:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        return pa.record_batch({"row": pa.array([r for r, _ in out], pa.int64()), "spans": pa.array([[{"start": s, "end": e} for s, e in x] for _, x in out], kind)})
+
+    for b in batches:
+        for r, s, e in zip(*[c.to_numpy().tolist() for c in b.columns]):
+            if r != row:
+                if row is not None:
+                    out.append((row, spans))
+                    size += len(spans)
+                    if size > MOST_ANCHORS:
+                        yield emit()
+                        out, size = [], 0
+                row, spans = r, [[s, e]]
+            elif s <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], e)
+            else:
+                spans.append([s, e])
+    if row is not None:
+        out.append((row, spans))
+        yield emit()
+
+
 def repeated_spans(docs: DataFrame, scratch: Scratch, length: int, block: int = 4096) -> DataFrame:
-    """(row, start, end): stretches of each text's bytes that repeated windows cover; they may overlap.
+    """(row, spans): stretches [start, end) of each text's bytes that repeated windows cover, apart and in order.
 
-    ``docs`` has (row, text), with row a key of the id and text. Where more than ``block`` different
-    fragments share an anchor they are dealt to blocks, and each two blocks are sorted in one task.
+    ``docs`` has (row, text), with row a key of the id and text.
     """
+    spark = docs.sparkSession
     found = scratch.save(docs.mapInArrow(_anchor_rows(length), ANCHORS), "anchors")
     classes = found.groupBy("hash", "fragment").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "lo", "at", "hi")).alias("one"))
     classes = scratch.save(classes, "classes")
-    shared = classes.groupBy("hash").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1").select("hash", "kinds")
-    classes2 = scratch.save(classes.join(shared, "hash"), "shared")
-    release(docs.sparkSession)
-    compared = classes2.where("kinds > 1").select("one.row", F.struct("hash", "fragment", "one.lo", "one.at", "one.hi", "kinds").alias("w")).groupBy("row").agg(F.collect_list("w").alias("wanted"))
-    fragments = scratch.save(docs.dropDuplicates(["row"]).join(compared, "row").select("text", "wanted").mapInArrow(_cut_fragments(length), "hash long, fragment long, left binary, right binary, kinds long"), "fragments")
-    release(docs.sparkSession)
-    blocks = F.ceil(F.col("kinds") / block).cast("int")
-    dealt = fragments.select("hash", "fragment", "left", "right", F.pmod(F.xxhash64("fragment"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("hash", "fragment", "left", "right", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
-    sorted_ = dealt.groupBy("hash", "first", "second").applyInArrow(_resolve(length), "hash long, fragment long, before int, after int").where("after > 0")
-    partial = sorted_.groupBy("hash", "fragment").agg(F.max("before").alias("before"), F.max("after").alias("after"))
-    whole = classes2.where("c > 1").select("hash", "fragment")
-    reach = partial.join(whole, ["hash", "fragment"], "left_anti").unionByName(whole.select("*", F.lit(1 << 30).alias("before"), F.lit(1 << 30).alias("after")))
-    reach = scratch.save(reach, "reach")
+    held = classes.groupBy("hash").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1").select("hash", "kinds")
+    shared = scratch.save(classes.join(held, "hash"), "shared")
+    scratch.drop("classes")
+    release(spark)
+    compared = shared.where("kinds > 1").select("one.row", F.struct("hash", "fragment", "one.lo", "one.at", "one.hi", "kinds").alias("w")).groupBy("row").agg(F.collect_list("w").alias("wanted"))
+    fragments = scratch.save(docs.join(compared, "row").dropDuplicates(["row"]).select("text", "wanted").mapInArrow(_cut_fragments(length), "hash long, fragment long, left binary, right binary, kinds long"), "fragments")
+    release(spark)
+    few = fragments.where(F.col("kinds") <= block).select("hash", "fragment", "left", "right")
+    sorted_ = few.groupBy("hash").applyInArrow(_resolve(length), REACH)
+    if fragments.where(F.col("kinds") > block).limit(1).count():
+        many = fragments.where(F.col("kinds") > block).withColumn("own", F.pmod(F.xxhash64("fragment"), F.ceil(F.col("kinds") / block)).cast("int"))
+        windows = scratch.save(many.groupBy("hash", "own").applyInArrow(_windows(length), "hash long, own int, window long"), "windows")
+        several = windows.groupBy("hash", "window").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("hash", "window")
+        elsewhere = windows.join(several, ["hash", "window"]).select("hash", "own", "window")
+        blocks = many.select("hash", "fragment", "left", "right", "own").groupBy("hash", "own").cogroup(elsewhere.groupBy("hash", "own")).applyInArrow(_resolve_block(length), REACH)
+        sorted_ = sorted_.unionByName(blocks)
+    whole = shared.where("c > 1").select("hash", "fragment")
+    partial = sorted_.where("after > 0").join(whole, ["hash", "fragment"], "left_anti")
+    reach = scratch.save(partial.unionByName(whole.select("*", F.lit(1 << 60).alias("before"), F.lit(1 << 60).alias("after"))), "reach")
+    for name in ("shared", "fragments", "windows"):
+        scratch.drop(name)
+    release(spark)
     start, end = F.greatest(F.col("lo"), F.col("at") - F.col("before")), F.least(F.col("hi") + length, F.col("at") + F.col("after"))
-    return found.join(reach, ["hash", "fragment"]).select("row", start.alias("start"), end.alias("end"))
-
-
-def union_spans(spans: list) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for s, e in sorted((x["start"], x["end"]) for x in spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [tuple(x) for x in out]
+    spans = found.join(reach, ["hash", "fragment"]).select("row", start.alias("start"), end.alias("end"))
+    spans = scratch.save(spans.repartition("row").sortWithinPartitions("row", "start").mapInArrow(_merged, "row long, spans array<struct<start:long,end:long>>"), "spans")
+    for name in ("anchors", "reach"):
+        scratch.drop(name)
+    release(spark)
+    return spans
 
 
 def with_spans(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, spans): spans are the [start, end) byte stretches to remove, null if there are none."""
-    spark = df.sparkSession
-    scratch = Scratch(spark, "suffixes")
     docs = require(df, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("row", F.xxhash64("id", "text"))
-    spans = repeated_spans(docs.where(F.octet_length("text") >= length).select("row", "text"), scratch, length)
-    spans = scratch.save(spans.distinct().groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    release(spark)
+    spans = repeated_spans(docs.where(F.octet_length("text") >= length).select("row", "text"), Scratch(df.sparkSession, "suffixes"), length)
     return docs.join(spans, "row", "left").select("id", "text", "spans")
 
 
-def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, kept, n_bytes, n_removed, n_spans, kept_sha256); kept are the remaining bytes."""
+def _kept_parts(data: bytes, spans: list[dict]) -> Iterator[bytes]:
+    at = 0
+    for x in spans:
+        yield data[at : x["start"]]
+        at = x["end"]
+    yield data[at:]
+
+
+def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256), and with ``with_kept`` the remaining bytes as ``kept``."""
     kind = df.schema[id_col].dataType.simpleString()
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * with_kept]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept, sizes, removed, counts, digests = [], [], [], [], []
-            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                data, spans = (text or "").encode("utf-8", "replace"), union_spans(spans or [])
-                left = b"".join(data[a:z] for a, z in zip([0, *[e for _, e in spans]], [*[s for s, _ in spans], len(data)]))
-                kept.append(left)
-                sizes.append(len(data))
-                removed.append(len(data) - len(left))
-                counts.append(len(spans))
-                digests.append(hashlib.sha256(left).hexdigest())
-            longs = lambda x: pa.array(x, pa.int64())
-            yield pa.record_batch({"id": b.column(0), "kept": pa.array(kept, pa.binary()), "n_bytes": longs(sizes), "n_removed": longs(removed), "n_spans": longs(counts), "kept_sha256": pa.array(digests, pa.string())})
-
-    return with_spans(df, length, id_col, text_col).mapInArrow(remove, f"id {kind}, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
+            first, size, rows = 0, 0, []
+            for r, (text, found) in enumerate(zip(b.column(1), b.column(2))):
+                data, spans, digest = _bytes_of(text), found.as_py() or [], hashlib.sha256()
+                parts = list(_kept_parts(data, spans))
+                for part in parts:
+                    digest.update(part)
+                left = sum(map(len, parts))
+                rows.append((len(data), len(data) - left, len(spans), digest.hexdigest(), *[b"".join(parts)] * with_kept))
+                size += left * with_kept
+                if size > MOST_BYTES or r + 1 == len(b):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(rows)), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], ["id", *names])
+                    first, size, rows = r + 1, 0, []
+
+    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
+    return with_spans(df, length, id_col, text_col).mapInArrow(remove, schema).withColumnRenamed("id", id_col)
+
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def cut_repeats(df: DataFrame, length: int, least_words: int = 0, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` with repeated stretches cut from their texts.
+
+    A stretch goes if repeated strings of ``length`` bytes cover it and it holds ``least_words`` words or
+    more; a character cut in two goes whole. Null texts stay null; rows of equal values count as copies of
+    each other; other columns are kept as they are, whatever their names.
+    """
+    rows = df.select(F.struct(*[c for c in df.columns if c != text_col]).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, size, texts = 0, 0, []
+            for r, (text, found) in enumerate(zip(b.column(1), b.column(2))):
+                if found.is_valid:
+                    data = _bytes_of(text)
+                    spans = [x for x in found.as_py() if len(WORD.findall(data, x["start"], x["end"])) >= least_words]
+                    texts.append("".join(p.decode("utf-8", "ignore") for p in _kept_parts(data, spans)))
+                else:
+                    texts.append(text.as_py())
+                size += len(texts[-1] or "")
+                if size > MOST_BYTES or r + 1 == len(b):
+                    yield pa.record_batch({"id": b.column(0).slice(first, len(texts)), "text": pa.array(texts, pa.string())})
+                    first, size, texts = r + 1, 0, []
+
+    kept = with_spans(rows, length, "id", "text").mapInArrow(cut, f"id {kind}, text string")
+    return kept.select(*[F.col("text").alias(c) if c == text_col else F.col("id")[c].alias(c) for c in df.columns])
