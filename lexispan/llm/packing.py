@@ -18,28 +18,43 @@ import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispan.llm.bpe import SPLIT, merge_table
+from lexispan.llm.bpe import SPLIT, Encoder, merge_table
 from lexispan.llm.common import require
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
+PLAIN = 100_000
+
+
 @lru_cache(maxsize=2)
 def fast_encoder(path: str):
-    """text -> uint32 ids; the rank-based library where ids are in merge order, else the file's own."""
+    """text -> uint32 ids; the rank-based library where ids are in merge order, else the file's own.
+
+    The former runs out of stack on very long white space; a text of over ``PLAIN`` characters goes
+    through the streaming encoder of operator 10, part by part.
+    """
     table = merge_table(path)
     made = [table.ids[a + b] for a, b in table.rank]
     if made == sorted(made):
         import tiktoken
 
-        own = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=table.ids, special_tokens=table.special)
-        return lambda text: own.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+        own, long_ = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=table.ids, special_tokens=table.special), Encoder(table, cache=50_000)
+
+        def encode(text: str) -> np.ndarray:
+            if len(text) <= PLAIN:
+                return own.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+            parts = [np.fromiter(chain.from_iterable(groups), "<u4") for _, groups in long_.parts(text)]
+            return np.concatenate(parts)
+
+        return encode
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
