@@ -10,11 +10,14 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
+from operator import itemgetter
 
+import numpy as np
 import regex
 
 # Fixed value: how byte-level BPE files of this kind split a text before merging.
@@ -83,6 +86,31 @@ class MergeTable:
             return [text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text)]
         return self.split.findall(text)
 
+    def stable_pieces(self, text: str, part: int = 1 << 16) -> Iterator[list[str] | tuple[int, int]]:
+        """Pre-tokens of a text without special strings, part by part.
+
+        The last two of a part wait for the text that follows. Where a part holds no more than these, the
+        first of them is long: only its place (start, end) is given, so it is not gathered here.
+        """
+        at, end = 0, 0
+        while at < len(text):
+            end = min(len(text), max(end, at) + part)
+            found = self.pieces(text[at:end])
+            if end == len(text):
+                yield found
+                return
+            if len(found) > 2:
+                yield found[:-2]
+                at = end = end - len(found[-2]) - len(found[-1])
+            elif text.isascii() or not (_beyond.search(text) and _unassigned().search(text)):
+                m = self.split.match(text, at)
+                yield at, m.end()
+                at = end = m.end()
+
+    def pieces_by_part(self, text: str) -> Iterator[list[str]]:
+        for found in self.stable_pieces(text):
+            yield [text[found[0] : found[1]]] if isinstance(found, tuple) else found
+
     def segments(self, text: str) -> Iterator[tuple[str, int | None]]:
         """Stretches of ordinary text (id None) and special strings (their id), in order."""
         if self.special_split is None or not self.special_split.search(text):
@@ -166,6 +194,9 @@ class TwoAgeCache(dict):
 
 # -- prefix dynamic programming (operator 5) --------------------------------------------------
 
+KEPT_PIECE = 256
+last_entry = itemgetter(-1)
+
 
 class PrefixCounter:
     """Exact token counts of all prefixes.
@@ -173,7 +204,8 @@ class PrefixCounter:
     For a pre-token the recurrence runs over its bytes. ``last[i]``, the last token of the encoding
     of the first i bytes, is the one token t ending at i for which the pair (last[i - len(t)], t) is
     left alone by the merges; then ``count[i] = count[i - len(t)] + 1``. A sequence of tokens is an
-    encoding exactly if each adjacent pair is, so one table answers every prefix.
+    encoding exactly if each adjacent pair is, so one table answers every prefix. Tables of usual
+    pre-tokens are kept, so that a text's total and its prefixes are read from the same tables.
     """
 
     def __init__(self, table: MergeTable, cache: int = 600_000):
@@ -184,7 +216,7 @@ class PrefixCounter:
         self.longest_by_end = [1] * 256
         for b in self.ids:
             self.longest_by_end[b[-1]] = max(self.longest_by_end[b[-1]], len(b))
-        self.totals = TwoAgeCache(lambda piece: self.byte_counts(piece.encode("utf-8", "replace"))[-1], cache)
+        self.kept = TwoAgeCache(lambda piece: self.byte_counts(piece.encode("utf-8", "replace")), cache)
 
     def _pair_holds(self, a: int, b: int) -> bool:
         x, y = self.table.bytes_of[a], self.table.bytes_of[b]
@@ -194,12 +226,15 @@ class PrefixCounter:
         self.pairs[a << 32 | b] = held
         return held
 
-    def byte_counts(self, data: bytes) -> list[int]:
+    def byte_counts(self, data: bytes) -> bytes | array:
         """count[i]: tokens of the first i bytes of one pre-token, for i from 0 to its length."""
         ids, longest, known = self.ids.get, self.longest_by_end, self.pairs.get
-        count, last = [0], [-1]
+        count, last, begin = [0], [-1], 0
+        if len(data) > 255:
+            count, last = array("i", count), array("i", last)
         for i in range(1, len(data) + 1):
-            for j in range(i - 1, max(0, i - longest[data[i - 1]]) - 1, -1):
+            # most often the last token grows by one byte
+            for j in chain((begin,), range(i - 1, max(0, i - longest[data[i - 1]]) - 1, -1)):
                 t = ids(data[j:i])
                 if t is not None:
                     if j:
@@ -210,41 +245,76 @@ class PrefixCounter:
                             continue
                     count.append(count[j] + 1)
                     last.append(t)
+                    begin = j
                     break
-        return count
+        return bytes(count) if isinstance(count, list) else count
+
+    def piece(self, piece: str) -> bytes | array:
+        """The table of one pre-token; those of usual length are kept."""
+        return self.kept[piece] if len(piece) <= KEPT_PIECE else self.byte_counts(piece.encode("utf-8", "replace"))
 
     def total(self, text: str) -> int:
-        """Tokens of a whole text: the last entry of its prefix table."""
-        totals = self.totals
-        return sum(sum(map(totals.__getitem__, self.table.pieces(s))) if t is None else 1 for s, t in self.table.segments(text))
+        """Tokens of a whole text: the last entries of its pre-tokens' tables."""
+        n = 0
+        for s, t in self.table.segments(text):
+            if t is not None:
+                n += 1
+                continue
+            for found in self.table.pieces_by_part(s):
+                if max(map(len, found)) <= KEPT_PIECE:
+                    n += sum(map(last_entry, map(self.kept.__getitem__, found)))
+                else:
+                    n += sum(self.piece(x)[-1] for x in found)
+        return n
 
     def index(self, text: str) -> PrefixIndex:
         return PrefixIndex(self, text)
 
 
 class PrefixIndex:
-    """Counts at the pre-token borders of one text; any prefix in between is settled locally."""
+    """The prefix tables of one text: tokens before each pre-token, and each pre-token's own table."""
 
     def __init__(self, counter: PrefixCounter, text: str):
         self.counter, self.text = counter, text
-        self.starts, counts, at = [], [], 0
+        self.starts, self.tables, at = [], [], 0
         for s, t in counter.table.segments(text):
-            for piece in [s] if t is not None else counter.table.pieces(s):
+            if t is not None:
                 self.starts.append(at)
-                counts.append(1 if t is not None else counter.totals[piece])
-                at += len(piece)
-        self.sums = [0, *accumulate(counts)]
+                self.tables.append(None)  # a special string: one token as a whole
+                at += len(s)
+                continue
+            for found in counter.table.pieces_by_part(s):
+                for piece in found:
+                    self.starts.append(at)
+                    self.tables.append(counter.piece(piece))
+                    at += len(piece)
+        self.sums = [0, *accumulate(1 if t is None else t[-1] for t in self.tables)]
+        self.ends = [*self.starts[1:], len(text)]
+
+    def _piece_counts(self, k: int) -> np.ndarray:
+        """Tokens of the text cut within pre-token k, after each of its characters but the first three.
+
+        From the fourth on a cut leaves one pre-token, of which the table tells; before, a cut may join a
+        space to the spaces before it or bare an apostrophe.
+        """
+        piece, table = self.text[self.starts[k] : self.ends[k]], self.tables[k]
+        counts = np.frombuffer(table, np.uint8 if isinstance(table, bytes) else np.intc)
+        if not piece.isascii():
+            raw = np.frombuffer(piece.encode("utf-8", "replace"), np.uint8)
+            counts = counts[np.r_[np.flatnonzero(raw & 0xC0 != 0x80), len(raw)]]
+        return self.sums[k] + counts[4:].astype(np.int64)
 
     def count(self, n_chars: int) -> int:
-        """Tokens of the first ``n_chars`` characters, as if they were encoded alone.
-
-        Where a border is not at ``n_chars``, the last three pre-tokens before it are split anew: a cut
-        can join a space to the spaces before it, or bare the start of a special string.
-        """
+        """Tokens of the first ``n_chars`` characters, as if they were encoded alone."""
         n_chars = max(0, min(n_chars, len(self.text)))
         if n_chars == len(self.text):
             return self.sums[-1]
-        k = max(0, bisect_right(self.starts, n_chars) - 3)
+        k = bisect_right(self.starts, n_chars) - 1
+        at = self.starts[k] if self.starts else 0
+        if n_chars - at > 3 and self.tables[k] is not None:
+            return self.sums[k] + self.tables[k][len(self.text[at:n_chars].encode("utf-8", "replace"))]
+        # the pre-tokens just before the cut are split anew
+        k = max(0, k - 2)
         return self.sums[k] + self.counter.total(self.text[self.starts[k] if self.starts else 0 : n_chars])
 
     def counts(self) -> list[int]:
@@ -253,18 +323,25 @@ class PrefixIndex:
     def longest_prefix(self, budget: int) -> int:
         """The most characters whose encoding has at most ``budget`` tokens.
 
-        Counts of prefixes rise and fall by little, and never by more than one pre-token's worth, so
-        the search goes down from the first border that is out of reach.
+        Where cuts split anew, a prefix has at most three tokens less than the borders before it. So the
+        search goes down from the first pre-token that is out of reach.
         """
         if self.sums[-1] <= budget:
             return len(self.text)
-        ends = [*self.starts[1:], len(self.text)]
-        k = bisect_right(self.sums, budget)
-        while k < len(ends) and self.sums[k] - 4 <= budget:
-            k += 1
-        for n in range(ends[min(k, len(ends) - 1)], 0, -1):
-            if self.count(n) <= budget:
-                return n
+        k = bisect_right(self.sums, budget + 3)
+        for k in range(min(k, len(self.ends) - 1), -1, -1):
+            at, end = self.starts[k], self.ends[k]
+            if self.count(end) <= budget:
+                return end
+            near = end - 1
+            if self.tables[k] is not None and end - at > 4:
+                fits = np.flatnonzero(self._piece_counts(k)[:-1] <= budget)
+                if len(fits):
+                    return at + 4 + int(fits[-1])
+                near = at + 3
+            for n in range(near, at, -1):
+                if self.count(n) <= budget:
+                    return n
         return 0
 
 
@@ -298,8 +375,8 @@ class Encoder:
     """Tokens of a stream of text parts, in memory that does not grow with the text.
 
     Text is split as far as what follows cannot move a border. A pre-token of usual length is encoded
-    at once (and kept in a cache); a long one goes through a byte window: it is merged, tokens that
-    end at least ``lookahead`` bytes before the window's end are stable and go out, the rest stays.
+    at once (and kept in a cache); a long one is not gathered but goes through a byte window: it is merged,
+    tokens that end at least ``lookahead`` bytes before the window's end are stable and go out, the rest stays.
     """
 
     def __init__(self, table: MergeTable, lookahead: int | None = None, window: int = 4096, cache: int = 400_000):
@@ -312,30 +389,39 @@ class Encoder:
         ids = tuple(map(self.table.ids.__getitem__, self.table.merge(piece.encode("utf-8", "replace"))))
         return ",".join(map(str, ids)), ids
 
-    def _encode_long(self, piece: str) -> Iterator[list[int]]:
-        ids, pending, step = self.table.ids, b"", self.window
-        for at in range(0, len(piece), step):
-            pending += piece[at : at + step].encode("utf-8", "replace")
-            if at + step >= len(piece):
+    def _encode_long(self, text: str, start: int, end: int) -> Iterator[list[int]]:
+        """A long pre-token, text[start:end], through a window of bytes."""
+        ids, pending, step, sent = self.table.ids, b"", self.window, TwoAgeCache(self._stable_tokens, 16)
+        for at in range(start, end, step):
+            pending += text[at : min(end, at + step)].encode("utf-8", "replace")
+            if at + step >= end:
                 break
-            done, sure, out = 0, len(pending) - self.lookahead - self.table.longest, []
-            for token in self.table.merge(pending):
-                if done + len(token) > sure:
-                    break
-                out.append(ids[token])
-                done += len(token)
+            out, done = sent[pending]
             yield out
             pending = pending[done:]
         yield [ids[token] for token in self.table.merge(pending)]
 
+    def _stable_tokens(self, pending: bytes) -> tuple[list[int], int]:
+        """Tokens at the window's start that nothing behind it can change, and their bytes."""
+        ids, done, sure, out = self.table.ids, 0, len(pending) - self.lookahead - self.table.longest, []
+        for token in self.table.merge(pending):
+            if done + len(token) > sure:
+                break
+            out.append(ids[token])
+            done += len(token)
+        return out, done
+
     def parts(self, text: str) -> Iterator[tuple[list[str], list[tuple[int, ...]]]]:
         """Runs of tokens as they become stable: decimal ids joined by commas, and ids, in short groups."""
         for s, t in self.table.segments(text):
             if t is not None:
                 yield [str(t)], [(t,)]
                 continue
-            for found in self._stable_pieces(s):
-                if max(map(len, found), default=0) <= self.window:
+            for found in self.table.stable_pieces(s):
+                if isinstance(found, tuple):
+                    for run in self._encode_long(s, *found):
+                        yield [",".join(map(str, run))], [tuple(run)]
+                elif max(map(len, found), default=0) <= self.window:
                     values = list(map(self.cache.__getitem__, found))
                     yield [v[0] for v in values], [v[1] for v in values]
                 else:
@@ -344,22 +430,9 @@ class Encoder:
                             name, ids = self.cache[piece]
                             yield [name], [ids]
                         else:
-                            for run in self._encode_long(piece):
+                            for run in self._encode_long(piece, 0, len(piece)):
                                 yield [",".join(map(str, run))], [tuple(run)]
 
-    def _stable_pieces(self, text: str, part: int = 1 << 16) -> Iterator[list[str]]:
-        """Pre-tokens part by part; the last two of a part wait for the text that follows."""
-        rest, at = "", 0
-        while at < len(text):
-            rest += text[at : at + part]
-            at += part
-            found = self.table.pieces(rest)
-            if at < len(text):
-                keep = found[-2:]
-                found = found[:-2]
-                rest = "".join(keep)
-            yield found
-
     def encode(self, text: str) -> list[int]:
         return [i for _, groups in self.parts(text) for ids in groups for i in ids]
 
