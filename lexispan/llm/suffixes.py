@@ -416,7 +416,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, length: int, block: int = 4096) -> DataFrame:
+def repeated_spans(docs: DataFrame, scratch: Scratch, length: int, block: int = 512) -> DataFrame:
     """(row, spans): stretches [start, end) of each text's bytes that repeated windows cover, apart and in order.
 
     ``docs`` has (row, text), with row a key of the id and text.
