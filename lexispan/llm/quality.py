@@ -1,15 +1,23 @@
 """Operator 4: quality rules by robust multivariate outliers, in DataFrame functions only.
 
 Base rules first: too few words, or too many words in repeated five-word windows. The rest is judged
-by Mahalanobis distance from a minimum-covariance-determinant estimate of its language and source:
-starting at medians and absolute deviations, concentration steps take the ``share`` of rows nearest
-to the estimate and estimate again. Quantiles of distances come from counts of narrow bins, so a
-group of any size is summed up before it is shuffled and no group meets in one task.
+by Mahalanobis distance from a minimum-covariance-determinant estimate of its language and source.
+
+Each group is estimated from several deterministic starts: medians with absolute deviations, and with
+the covariances of values drawn in by tanh and of spatial signs. Concentration steps take the ``share``
+of rows nearest to an estimate and estimate again; after two of them the start of least determinant
+goes on until determinants no longer fall. Covariances are made consistent for normal rows, and get the
+variances of ``FLOORS`` on their diagonal, as many statistics are nearly constant. Quantiles of distances come from counts of narrow
+bins, so a group of any size is summed up before it is shuffled and no group meets in one task.
+
+Groups are estimated on three levels: language and source, language, all. An estimate is drawn to that of
+the level above with the weight of ``prior_rows`` rows, and that of all rows to a wide prior, so a small
+group is judged mildly and there is no size at which the rule changes.
 
 Defined cases: a null text has no words and fails the base rules; null language or source is a group
-of its own; groups of fewer than ``least`` rows share the estimate of their language's small groups,
-and these, if still few, a common one; where that too has fewer, only the base rules count;
-repeated rows give repeated rows; the input's other columns are kept apart and cannot clash.
+of its own; a table of few rows is judged by the wide prior for the most part; repeated rows give
+repeated rows; the input's other columns are kept apart and cannot clash; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -28,29 +36,32 @@ SYMBOLS = r"[#*$%&|<>]"
 #: Least standard deviation of each statistic; most documents have none of the last three.
 FLOORS = (0.05, 0.3, 0.05, 0.08, 0.08)
 P = len(FLOORS)
-#: Median of the chi-squared distribution with P = 5 degrees of freedom.
-CHI2_MEDIAN = 4.351
-BINS = 200
-
-
-def base_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words); row is the whole input row."""
-    text = F.coalesce(F.col("row")[text_col], F.lit(""))
-    split = df.select(F.struct(*df.columns).alias("row")).select("row", F.array_remove(F.split(text, SPACE), "").alias("w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
-    hashed = split.select("row", F.size("w").alias("n"), F.length(F.array_join("w", "")).alias("chars"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"), (F.size("lines") - F.size(F.array_distinct("lines"))).alias("dup"))
+#: The prior of all rows is so many times as wide as the floors.
+PRIOR_WIDTH = 4.0
+# Fixed values of the chi-squared distribution with P = 5 degrees of freedom: its median, the quantile that
+# one row in 100,000 exceeds, and share / P(chi2 with P + 2 degrees <= the share's quantile) for a share of 0.75.
+CHI2_MEDIAN, CHI2_CUT, CONSISTENCY = 4.351, 30.856, 1.4121
+BINS = 100
+
+
+def base_statistics(df: DataFrame, text_col: str = "text", row: Column | None = None) -> DataFrame:
+    """(row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words); row is the whole input row, or ``row``."""
+    text = F.coalesce("text", F.lit(""))
+    split = df.select((F.struct(*df.columns) if row is None else row).alias("row"), F.col(text_col).cast("string").alias("text")).select("row", F.regexp_count(text, F.lit(SYMBOLS)).alias("symbols"), F.array_remove(F.split(text, SPACE), "").alias("w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+    hashed = split.select("row", "symbols", F.size("w").alias("n"), F.length(F.array_join("w", "")).alias("chars"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"), (F.size("lines") - F.size(F.array_distinct("lines"))).alias("dup"))
     h = F.col("h")
     windows = F.when(F.col("n") >= 5, F.transform(F.sequence(F.lit(0), F.col("n") - 5), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(5)])))
-    windowed = hashed.select("row", "n", "chars", "dup", windows.alias("win"))
+    windowed = hashed.select("row", "symbols", "n", "chars", "dup", windows.alias("win"))
     repeated = F.size("win") > F.size(F.array_distinct("win"))
     # windows in order of hash, then place; only of texts in which some window recurs
-    ordered = windowed.select("row", "n", "chars", "dup", F.when(repeated, F.array_sort(F.transform("win", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))).alias("s"))
+    ordered = windowed.select("row", "symbols", "n", "chars", "dup", F.when(repeated, F.array_sort(F.transform("win", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))).alias("s"))
     s = F.col("s")
     same = lambda x, k: F.get(s, k)["h"] == x["h"]
     places = F.array_sort(F.transform(F.filter(s, lambda x, k: F.coalesce((k > 0) & same(x, k - 1), F.lit(False)) | F.coalesce(same(x, k + 1), F.lit(False))), lambda x: x["i"]))
-    placed = ordered.select("row", "n", "chars", "dup", places.alias("places"))
+    placed = ordered.select("row", "symbols", "n", "chars", "dup", places.alias("places"))
     start = F.struct(F.lit(0).alias("n"), F.lit(-5).alias("last"))
     covered = F.aggregate("places", start, lambda a, i: F.struct((a["n"] + F.least(F.lit(5), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
-    return placed.select("row", F.col("n").cast("long").alias("n_words"), F.col("chars").cast("long").alias("word_chars"), F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), F.col("dup").cast("long").alias("n_dup_lines"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return placed.select("row", F.col("n").cast("long").alias("n_words"), F.col("chars").cast("long").alias("word_chars"), F.col("symbols").cast("long").alias("n_symbols"), F.col("dup").cast("long").alias("n_dup_lines"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def statistic_vector() -> list[Column]:
@@ -67,8 +78,13 @@ def _binned_quantile(rows: DataFrame, by: list[str], bin_col: str, share: float)
     return sums.where(F.col("up_to") >= F.col("all") * share).groupBy(*by).agg(F.min(bin_col).alias("bin"))
 
 
+MEANS, COVARIANCES = [f"m_{i}" for i in range(P)], [f"c_{i}_{j}" for i in range(P) for j in range(i + 1)]
+VALUES = [f"x_{i}" for i in range(P)]
+
+
 def _with_inverse(stats: DataFrame) -> DataFrame:
-    """Adds p_i_j, the inverse of the covariance c_i_j, by Cholesky factors, one column after the other."""
+    """Adds p_i_j, the inverse of the covariance c_i_j, and logdet, by Cholesky factors, one column after the other."""
+    kept = stats.columns
     c = lambda i, j: F.col(f"c_{max(i, j)}_{min(i, j)}")
     total = lambda xs: reduce(add, xs, F.lit(0.0))
     for j in range(P):
@@ -77,7 +93,8 @@ def _with_inverse(stats: DataFrame) -> DataFrame:
     for i in range(P):  # the inverse of the factor, row by row
         stats = stats.withColumns({f"v_{i}_{j}": (F.lit(float(i == j)) - total([F.col(f"l_{i}_{k}") * F.col(f"v_{k}_{j}") for k in range(j, i)])) / F.col(f"l_{i}_{i}") for j in range(i + 1)})
     inverse = {f"p_{i}_{j}": total([F.col(f"v_{k}_{i}") * F.col(f"v_{k}_{j}") for k in range(i, P)]) for i in range(P) for j in range(i + 1)}
-    return stats.withColumns(inverse).select("grp", *[f"m_{i}" for i in range(P)], *inverse)
+    logdet = total([2.0 * F.log(f"l_{j}_{j}") for j in range(P)])
+    return stats.withColumns(inverse | {"logdet": logdet}).select(*kept, *inverse, "logdet")
 
 
 def _distance() -> Column:
@@ -85,49 +102,101 @@ def _distance() -> Column:
     return reduce(add, [F.col(f"p_{i}_{j}") * d[i] * d[j] * (1.0 if i == j else 2.0) for i in range(P) for j in range(i + 1)])
 
 
-def robust_quality(df: DataFrame, cutoff: float = 32.0, share: float = 0.75, steps: int = 3, least: int = 60, min_words: int = 10, repeat_percent: int = 20, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(row, the base counts, base_failed, distance, kept) of each row; row is the whole input row."""
-    scratch = Scratch(df.sparkSession, "quality")
-    counted = base_statistics(df, text_col)
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    counted = counted.select("*", failed.alias("base_failed"), *[x.cast("double").alias(f"x_{i}") for i, x in enumerate(statistic_vector())])
-    rows = scratch.save(counted, "rows")
-    lang, source = F.coalesce(F.concat(F.lit("="), F.col("row")[lang_col].cast("string")), F.lit("-")), F.coalesce(F.concat(F.lit("="), F.col("row")[source_col].cast("string")), F.lit("-"))
-    named = rows.select("*", lang.alias("lang_"), source.alias("source_"))
-    sizes = named.where(~F.col("base_failed")).groupBy("lang_", "source_").agg(F.count(F.lit(1)).alias("n"))
-    small = F.when(F.col("n") < least, F.col("n")).otherwise(0)
-    few = F.sum(small).over(Window.partitionBy("lang_"))
-    grp = F.when(F.col("n") >= least, F.concat_ws("\t", "lang_", "source_")).when(few >= least, F.col("lang_")).otherwise("")
-    groups = scratch.save(sizes.select("lang_", "source_", "n", grp.alias("grp")), "groups")
-    rest = groups.where("grp = ''").agg(F.sum("n")).first()[0] or 0
-    named = named.join(groups.drop("n"), ["lang_", "source_"], "left").drop("lang_", "source_").withColumn("grp", F.coalesce("grp", F.lit("")))
-    judgeable = ~F.col("base_failed") if rest >= least else ~F.col("base_failed") & (F.col("grp") != "")
-    plain = named.where(judgeable).select("grp", *[f"x_{i}" for i in range(P)])
-
-    # start: medians, and medians of absolute deviations from them
-    values = plain.select("grp", F.posexplode(F.array(*[f"x_{i}" for i in range(P)])).alias("i", "x"))
-    to_bin = lambda x: F.round(x * 1000).cast("long")
-    centre = _binned_quantile(values.select("grp", "i", to_bin(F.col("x")).alias("b")), ["grp", "i"], "b", 0.5).select("grp", "i", (F.col("bin") / 1000).alias("m"))
+def _floored(i: int, j: int, covariance: Column) -> Column:
+    return covariance + FLOORS[i] ** 2 if i == j else covariance
+
+
+def _starts(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(grp, s, means, covariances) of the three starts of each group of ``rows`` (grp, values)."""
+    values = rows.select("grp", F.posexplode(F.array(*VALUES)).alias("i", "x"))
+    to_bin = lambda x: F.round(x * 500).cast("long")
+    centre = _binned_quantile(values.select("grp", "i", to_bin(F.col("x")).alias("b")), ["grp", "i"], "b", 0.5).select("grp", "i", (F.col("bin") / 500).alias("m"))
     centre = scratch.save(centre, "centre")
     spread = values.join(centre, ["grp", "i"]).select("grp", "i", "m", to_bin(F.abs(F.col("x") - F.col("m"))).alias("b"))
     mad = _binned_quantile(spread, ["grp", "i"], "b", 0.5).join(centre, ["grp", "i"])
     floor = F.get(F.array(*map(F.lit, FLOORS)), "i")
-    both = mad.select("grp", "i", "m", (F.pow(F.col("bin") / 1000 * 1.4826, 2) + floor * floor).alias("var"))
-    start = both.groupBy("grp").agg(*[F.max(F.when(F.col("i") == i, F.col(c))).alias(f"{a}{i}" + (f"_{i}" if c == "var" else "")) for i in range(P) for a, c in (("m_", "m"), ("c_", "var"))])
-    start = start.withColumns({f"c_{i}_{j}": F.lit(0.0) for i in range(P) for j in range(i)})
-    estimate = scratch.save(_with_inverse(start), "estimate0")
-
-    bin_of = F.floor(F.log(_distance() + 1e-9) * BINS).cast("long")
-    for step in range(steps):
-        near = plain.join(estimate, "grp").select("grp", *[f"x_{i}" for i in range(P)], bin_of.alias("b"))
-        cut = scratch.save(_binned_quantile(near, ["grp"], "b", share).withColumnRenamed("bin", "cut"), f"cut{step}")
-        core = near.join(cut, "grp").where(F.col("b") <= F.col("cut"))
-        means = {f"m_{i}": F.avg(f"x_{i}") for i in range(P)}
-        products = {f"c_{i}_{j}": F.avg(F.col(f"x_{i}") * F.col(f"x_{j}")) - F.avg(f"x_{i}") * F.avg(f"x_{j}") + (FLOORS[i] ** 2 if i == j else 0.0) for i in range(P) for j in range(i + 1)}
-        estimate = scratch.save(_with_inverse(core.groupBy("grp").agg(*[v.alias(k) for k, v in (means | products).items()])), f"estimate{step + 1}")
-    final = plain.join(estimate, "grp").select("grp", bin_of.alias("b"))
-    scale = scratch.save(_binned_quantile(final, ["grp"], "b", 0.5).select("grp", F.greatest(F.lit(1.0), F.exp(F.col("bin") / BINS) / CHI2_MEDIAN).alias("scale")), "scale")
-
-    judged = named.join(estimate, "grp", "left").join(scale, "grp", "left").withColumn("distance", _distance() / F.col("scale"))
+    width = F.sqrt(F.pow(F.col("bin") / 500 * 1.4826, 2) + floor * floor)
+    columns = [F.max(F.when(F.col("i") == i, c)).alias(f"{name}_{i}") for i in range(P) for name, c in (("m", F.col("m")), ("w", width))]
+    scale = scratch.save(mad.groupBy("grp").agg(*columns), "scale0")
+    z = rows.join(scale, "grp").select("grp", *[((F.col(f"x_{i}") - F.col(f"m_{i}")) / F.col(f"w_{i}")).alias(f"z_{i}") for i in range(P)])
+    length = F.sqrt(reduce(add, [F.col(f"z_{i}") ** 2 for i in range(P)]) + 1e-9)
+    drawn = z.select("grp", *[F.tanh(f"z_{i}").alias(f"t_{i}") for i in range(P)], *[(F.col(f"z_{i}") / length).alias(f"u_{i}") for i in range(P)])
+    sums = drawn.groupBy("grp").agg(*[F.avg(F.col(f"{n}_{i}") * F.col(f"{n}_{j}")).alias(f"{n}_{i}_{j}") for n in "tu" for i in range(P) for j in range(i + 1)])
+    both = sums.join(scale, "grp")
+    shape = lambda n, i, j: F.col(f"{n}_{i}_{j}") / F.sqrt((F.col(f"{n}_{i}_{i}") + 1e-9) * (F.col(f"{n}_{j}_{j}") + 1e-9))
+    width2 = lambda i, j: F.col(f"w_{i}") * F.col(f"w_{j}")
+    out = None
+    for s, name in enumerate((None, "t", "u")):
+        start = both.select("grp", F.lit(s).alias("s"), *MEANS, *[_floored(i, j, F.lit(float(i == j)) * width2(i, j) if name is None else shape(name, i, j) * width2(i, j)).alias(f"c_{i}_{j}") for i in range(P) for j in range(i + 1)])
+        out = start if out is None else out.unionByName(start)
+    return out
+
+
+def _concentrated(rows: DataFrame, estimate: DataFrame, scratch: Scratch, share: float, name: str) -> DataFrame:
+    """One concentration step of every estimate (grp, s, ...)."""
+    near = rows.join(estimate, "grp").select("grp", "s", *VALUES, F.floor(F.log(_distance() + 1e-6) * BINS).cast("long").alias("b"))
+    cut = scratch.save(_binned_quantile(near, ["grp", "s"], "b", share).withColumnRenamed("bin", "cut"), f"cut-{name}")
+    core = near.join(cut, ["grp", "s"]).where(F.col("b") <= F.col("cut"))
+    means = [F.avg(f"x_{i}").alias(f"m_{i}") for i in range(P)]
+    products = [_floored(i, j, CONSISTENCY * (F.avg(F.col(f"x_{i}") * F.col(f"x_{j}")) - F.avg(f"x_{i}") * F.avg(f"x_{j}"))).alias(f"c_{i}_{j}") for i in range(P) for j in range(i + 1)]
+    return scratch.save(_with_inverse(core.groupBy("grp", "s").agg(*means, *products)), f"estimate-{name}")
+
+
+def covariance_determinants(rows: DataFrame, scratch: Scratch, share: float, steps: int) -> DataFrame:
+    """(grp, means, covariances, logdet): the estimate of least determinant of each group of ``rows`` (grp, values)."""
+    estimate = scratch.save(_with_inverse(_starts(rows, scratch)), "estimate-start")
+    for k in range(2):
+        estimate = _concentrated(rows, estimate, scratch, share, f"all{k}")
+    best = estimate.groupBy("grp").agg(F.min(F.struct("logdet", "s")).alias("best")).select("grp", "best.s")
+    estimate = scratch.save(estimate.join(best, ["grp", "s"]), "estimate-best")
+    for k in range(steps):
+        last, estimate = estimate, _concentrated(rows, estimate, scratch, share, f"best{k}")
+        fell = last.select("grp", F.col("logdet").alias("before")).join(estimate, "grp").agg(F.max(F.col("before") - F.col("logdet")).alias("fell")).first()["fell"]
+        if fell is None or fell < 1e-3:
+            break
+    return estimate.select("grp", *MEANS, *COVARIANCES, "logdet")
+
+
+def _drawn(estimate: DataFrame, above: DataFrame, prior_rows: float) -> DataFrame:
+    """Estimates (grp, n, above, ...) mixed with those of the level above, which weigh ``prior_rows`` rows."""
+    both = estimate.join(above.select(F.col("grp").alias("above"), *[F.col(c).alias(f"a_{c}") for c in (*MEANS, *COVARIANCES)]), "above")
+    w = prior_rows / (F.col("n") + prior_rows)
+    gap = lambda i: F.col(f"m_{i}") - F.col(f"a_m_{i}")
+    means = [((1 - w) * F.col(m) + w * F.col(f"a_{m}")).alias(m) for m in MEANS]
+    mixed = [((1 - w) * F.col(f"c_{i}_{j}") + w * F.col(f"a_c_{i}_{j}") + w * (1 - w) * gap(i) * gap(j)).alias(f"c_{i}_{j}") for i in range(P) for j in range(i + 1)]
+    return both.select("grp", "n", *means, *mixed)
+
+
+def robust_quality(df: DataFrame, cutoff: float = CHI2_CUT, share: float = 0.75, steps: int = 8, prior_rows: float = 60.0, min_words: int = 10, repeat_percent: int = 20, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", payload: list[str] | None = None) -> DataFrame:
+    """(row, the base counts, base_failed, distance, kept) of each row.
+
+    row is the whole input row, or its columns ``payload``; only these and counts are written to the shared folder.
+    """
+    scratch = Scratch(df.sparkSession, "quality")
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    carried = F.struct(F.struct(*(df.columns if payload is None else payload)).alias("row"), named(lang_col).alias("lang"), named(source_col).alias("source"))
+    counted = base_statistics(df, text_col, carried)
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
+    groups = (F.lit("*").alias("all_"), F.concat(F.lit("L"), "row.lang").alias("lang_"), F.concat(F.lit("S"), "row.lang", F.lit("\t"), "row.source").alias("grp"))
+    counted = counted.select("row.row", *groups, *[c for c in counted.columns if c != "row"], failed.alias("base_failed"), *[x.cast("double").alias(f"x_{i}") for i, x in enumerate(statistic_vector())])
+    rows = scratch.save(counted, "rows")
+    plain = rows.where(~F.col("base_failed"))
+    leveled = plain.select(F.explode(F.array("all_", "lang_", "grp")).alias("grp"), *VALUES)
+    estimate = covariance_determinants(leveled, scratch, share, steps)
+
+    sizes = plain.groupBy("all_", "lang_", "grp").agg(F.count(F.lit(1)).alias("n"))
+    size_of = lambda level, above: sizes.groupBy(F.col(level).alias("grp"), F.col(above).alias("above")).agg(F.sum("n").alias("n"))
+    wide = [F.col(m) for m in MEANS] + [F.lit((PRIOR_WIDTH * FLOORS[i]) ** 2 if i == j else 0.0).alias(f"c_{i}_{j}") for i in range(P) for j in range(i + 1)]
+    settled = estimate.where("grp = '*'").select("grp", *wide)
+    for level, above in (("all_", "all_"), ("lang_", "all_"), ("grp", "lang_")):
+        settled = scratch.save(_drawn(estimate.join(size_of(level, above), "grp"), settled, prior_rows), f"drawn-{level}")
+    settled = scratch.save(_with_inverse(settled).drop("n", "logdet", *COVARIANCES), "settled")
+
+    # distances of heavy-tailed groups are scaled to the usual median; few rows take that of all
+    placed = plain.join(settled, "grp").select(F.explode(F.array(F.lit("*"), "grp")).alias("grp"), F.floor(F.log(_distance() + 1e-6) * BINS).cast("long").alias("b"))
+    middle = scratch.save(_binned_quantile(placed, ["grp"], "b", 0.5).select("grp", F.greatest(F.lit(1.0), F.exp(F.col("bin") / BINS) / CHI2_MEDIAN).alias("scale")), "middle")
+    usual = middle.where("grp = '*'").select(F.col("grp").alias("above"), F.col("scale").alias("usual"))
+    scale = middle.join(size_of("grp", "all_"), "grp").join(usual, "above").select("grp", ((F.col("n") * F.col("scale") + prior_rows * F.col("usual")) / (F.col("n") + prior_rows)).alias("scale"))
+    judged = rows.join(settled.join(scale, "grp"), "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return judged.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))

@@ -58,7 +58,7 @@ def op3_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    judged = robust_quality(docs)
+    judged = robust_quality(docs, payload=["doc_id"])
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 

@@ -1,6 +1,7 @@
 """Operators against brute force and the libraries, on small tables with awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexispan.llm import bpe, html_text, jaccard, packing, suffixes, urls, warc
+from lexispan.llm import bpe, html_text, jaccard, packing, quality, suffixes, urls, warc
 from lexispan.llm.neighbours import nearest_neighbours
 from lexispan.llm.quality import robust_quality
 from lexispan.llm.tokens import decode_documents, encode_documents, prefix_counts, round_trip_digests, token_counts, truncate_to_budget
@@ -200,13 +201,8 @@ def test_neighbours_are_never_fewer_than_asked_for(spark):
 def test_quality_base(docs):
     rows = {r["row"]["doc_id"]: r for r in robust_quality(docs).collect()}
     for k, t, *_ in awkward():
-        w = WORDS.findall(t or "")
-        seen = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
-        covered = {j for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
-        lines = [x for x in (t or "").split("\n") if WORDS.search(x)]
-        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered), len(w) < 10 or 100 * len(covered) > 20 * len(w))
         r = rows[k]
-        assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == want
+        assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == counts_of(t)
         assert not (r["base_failed"] and r["kept"])
 
 
@@ -221,18 +217,87 @@ def test_quality_outliers(spark, none):
     assert robust_quality(none).count() == 0
 
 
-def test_quality_without_enough_rows(spark):
+def counts_of(t):
+    """Words, their characters, symbols, repeated lines, words in repeated windows; and whether the base rules fail."""
+    w = WORDS.findall(t or "")
+    seen = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    covered = {j for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+    lines = [x for x in (t or "").split("\n") if WORDS.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered), len(w) < 10 or 100 * len(covered) > 20 * len(w)
+
+
+def numpy_determinant(x, share=0.75, starts=80):
+    """(log determinant, mean, covariance) of the best of many random starts, with exact quantiles."""
+    floors, r, best = np.diag(np.square(quality.FLOORS)), np.random.default_rng(1), None
+    for _ in range(starts):
+        near = r.choice(len(x), min(len(x), 6), replace=False)
+        for step in range(30):
+            m, c = x[near].mean(0), quality.CONSISTENCY * np.cov(x[near].T, bias=True) + floors
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            last, near = near, np.flatnonzero(d <= np.sort(d)[math.ceil(share * len(x)) - 1])
+            if step and np.array_equal(last, near):
+                break
+        found = np.linalg.slogdet(c)[1], m, c
+        best = found if best is None or found[0] < best[0] else best
+    return best
+
+
+def numpy_verdicts(rows, prior=60.0):
+    """id -> (distance, kept) and the log determinants by group, for rows (id, text, lang, source)."""
+    counts = {k: counts_of(t) for k, t, *_ in rows}
+    x = {k: np.array([math.log((c + 200) / (n + 40)), math.log(n + 1), math.sqrt(s / (c + 20)), math.sqrt(d / (n + 20)), p / (n + 20)]) for k, (n, c, s, d, p, _) in counts.items()}
+    good = [(k, lang, source) for k, _, lang, source in rows if not counts[k][5]]
+    mixed, dets = {}, {}
+    for level in ((), (1,), (1, 2)):
+        for g in {tuple(r[i] for i in level) for r in good}:
+            here = np.array([x[r[0]] for r in good if tuple(r[i] for i in level) == g])
+            dets[g], m, c = numpy_determinant(here)
+            above = mixed[g[:-1]] if g else (m, np.diag(np.square(quality.PRIOR_WIDTH * np.array(quality.FLOORS))))
+            w = prior / (len(here) + prior)
+            mixed[g] = (1 - w) * m + w * above[0], (1 - w) * c + w * above[1] + w * (1 - w) * np.outer(m - above[0], m - above[0])
+    d = {k: (x[k] - mixed[g][0]) @ np.linalg.inv(mixed[g][1]) @ (x[k] - mixed[g][0]) for k, *g in good for g in [tuple(g)]}
+    middle = lambda v: max(1.0, sorted(v)[math.ceil(len(v) / 2) - 1] / quality.CHI2_MEDIAN)
+    usual, out = middle(d.values()), {}
+    for k, *g in good:
+        own = [d[j] for j, *h in good if h == g]
+        out[k] = d[k] / ((len(own) * middle(own) + prior * usual) / (len(own) + prior))
+    return out, dets
+
+
+def test_quality_verdicts_against_numpy(spark):
+    """Groups of many and of few rows, with a fifth of them contaminated: distances, verdicts and determinants."""
+    r = random.Random(4)
+    word = lambda lang: "".join(r.choice("abcdefgh" if lang == "en" else "ijklmnop") for _ in range(r.randint(2, 7) + 3 * (lang == "de")))
+    prose = lambda lang, n, end="": " ".join(word(lang) + end for _ in range(n))
+    rows = []
+    for lang, source, n, bad in (("en", "a", 160, 32), ("en", "b", 90, 3), ("de", "a", 120, 24), ("de", None, 9, 1), ("fi", "c", 4, 0), (None, "a", 1, 0)):
+        rows += [(len(rows) + k, prose(lang, int(r.lognormvariate(4.5, 0.6)) + 12), lang, source) for k in range(n)]
+        rows += [(len(rows) + k, prose(lang, r.randint(60, 90), "##") + "\nthe same line\nthe same line" * 3, lang, source) for k in range(bad)]
+    rows += [(len(rows), "too few", "en", "a"), (len(rows) + 1, None, None, None)]
+    scratch = quality.Scratch(spark, "held")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {x["row"]["doc_id"]: x for x in robust_quality(df).collect()}
+    want, dets = numpy_verdicts(rows)
+    assert {k for k, x in got.items() if x["distance"] is None} == {k for k, t, *_ in rows if counts_of(t)[5]} == set(got) - set(want)
+    for k, d in want.items():
+        assert abs(math.log((got[k]["distance"] + 0.3) / (d + 0.3))) < 0.2, (k, d, got[k]["distance"])  # bins are a hundredth wide
+        assert got[k]["kept"] == (d <= quality.CHI2_CUT) or 0.9 < d / quality.CHI2_CUT < 1.1
+    bad = {k for k, t, *_ in rows if "##" in (t or "")}
+    assert len({k for k in bad if got[k]["kept"]}) <= 1 and sum(not got[k]["kept"] for k in want if k not in bad) == 0
+    held = quality.covariance_determinants(spark.createDataFrame([("x", *map(float, v)) for v in np.random.default_rng(3).normal(size=(200, 5)) * np.r_[np.ones(160), np.full(40, 6.0)][:, None]], ["grp", *quality.VALUES]), scratch, 0.75, 8).first()
+    x = np.random.default_rng(3).normal(size=(200, 5)) * np.r_[np.ones(160), np.full(40, 6.0)][:, None]
+    assert held["logdet"] <= numpy_determinant(x)[0] + 0.1
+
+
+def test_quality_of_few_rows(spark):
+    """No size at which the rule changes: few rows are judged mildly, by the wide prior."""
     r = random.Random(4)
     prose = lambda n, end="": " ".join(f"word{r.randrange(900)}{end}" for _ in range(n))
-    rows = [(k, prose(40 + k), "en", "s") for k in range(80)] + [(80, prose(60, "###"), "en", "s")]
-    few = [(100 + k, prose(40 + k), ("fi", "et", None)[k % 3], "s") for k in range(11)] + [(111, prose(60, "###"), "lv", "s"), (112, "too few", "lv", "s")]
-    more = [(200 + k, prose(40 + k), "fi" if k % 2 else "et", f"s{k % 9}") for k in range(50)]
-    judge = lambda rows: {x["row"]["doc_id"]: (x["kept"], x["distance"] is None) for x in robust_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    got = judge(rows + few)
-    assert {k: v for k, v in got.items() if k >= 100} == {k: (k != 112, True) for k in range(100, 113)}
-    assert got[80] == (False, False) and not any(none for k, (_, none) in got.items() if k < 80)
-    got = judge(few + more)  # together enough for the common estimate
-    assert got[111] == (False, False) and not any(none for k, (_, none) in got.items() if k != 112)
+    for n in (1, 11):
+        rows = [(k, prose(40 + 9 * k), ("fi", "et", None)[k % 3], f"s{k % 4}") for k in range(n)]
+        got = robust_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), payload=["doc_id"]).collect()
+        assert len(got) == n and all(x["kept"] and x["distance"] < 25 for x in got)
+        assert got[0]["row"].asDict().keys() == {"doc_id"}
 
 
 # -- 5, 10
