@@ -36,7 +36,7 @@ class Columns:
         return F.concat(w, F.lit(tail)) if tail else w
 
     def matches(self, w, pattern):
-        return F.regexp_replace(w, "^y", "Y").rlike(pattern)
+        return F.regexp_replace(w, "^y", "Y").rlike(pattern.replace("$", r"\z"))
 
     def length(self, w):
         return F.length(w)
@@ -129,20 +129,20 @@ def steps(b, mode: str) -> list[Callable]:
         cases += [(b.ends(w, "sses"), b.drop(w, 2)), (b.ends(w, "ies"), b.drop(w, 2)), (b.ends(w, "ss"), w), (b.ends(w, "s"), b.drop(w, 1))]
         return b.choose(cases, w)
 
-    # 1b in two steps: a cut word is marked with a leading newline until its end is repaired
+    # 1b in two steps: the first also tells whether it cut the word, so that the second repairs its end
     def step_1b(w):
-        cases = [(b.ends(w, "ied"), b.choose([(b.equal_length(w, 4), b.drop(w, 1))], b.drop(w, 2)))] if nltk else []
-        cases.append((b.ends(w, "eed"), b.choose([(some(b.drop(w, 3)), b.drop(w, 1))], w)))
-        cases += [(b.both(b.ends(w, s), vowel(b.drop(w, len(s)))), b.mark(b.drop(w, len(s)))) for s in ("ed", "ing")]
-        return b.choose(cases, w)
+        cases = [(b.ends(w, "ied"), b.pair(b.choose([(b.equal_length(w, 4), b.drop(w, 1))], b.drop(w, 2)), False))] if nltk else []
+        cases.append((b.ends(w, "eed"), b.pair(b.choose([(some(b.drop(w, 3)), b.drop(w, 1))], w), False)))
+        cases += [(b.both(b.ends(w, s), vowel(b.drop(w, len(s)))), b.pair(b.drop(w, len(s)), True)) for s in ("ed", "ing")]
+        return b.choose(cases, b.pair(w, False))
 
-    def step_1b_repair(w):
-        x = b.unmark(w)
+    def step_1b_repair(pair):
+        x = b.word(pair)
         double = b.both(b.at_least_two_equal(x), consonant_last(x))
         lsz = b.either(b.either(b.ends(x, "l"), b.ends(x, "s")), b.ends(x, "z"))
         cases = [(b.ends(x, s), b.add(x, "e")) for s in ("at", "bl", "iz")]
         cases += [(double, b.choose([(lsz, x)], b.drop(x, 1))), (b.ends(x, "*d"), b.add(b.drop(x, 2), "d")), (b.both(once(x), short(x)), b.add(x, "e"))]
-        return b.choose([(b.marked(w), b.choose(cases, x))], w)
+        return b.choose([(b.was_cut(pair), b.choose(cases, x))], x)
 
     def step_1c(w):
         stem = b.drop(w, 1)
@@ -187,18 +187,18 @@ _more(
     Columns,
     equal_length=lambda w, n: F.length(w) == n,
     longer=lambda w, n: F.length(w) > n,
-    mark=lambda w: F.concat(F.lit("\n"), w),
-    marked=lambda w: w.startswith("\n"),
-    unmark=lambda w: F.regexp_replace(w, "^\n", ""),
+    pair=lambda w, cut: F.struct(w.alias("word"), F.lit(cut).alias("cut")),
+    word=lambda pair: pair["word"],
+    was_cut=lambda pair: pair["cut"],
     at_least_two_equal=lambda w: (F.length(w) > 1) & (F.substring(w, -1, 1) == F.substring(w, -2, 1)),
 )
 _more(
     Sql,
     equal_length=lambda w, n: f"length({w}) = {n}",
     longer=lambda w, n: f"length({w}) > {n}",
-    mark=lambda w: f"(chr(10) || {w})",
-    marked=lambda w: f"starts_with({w}, chr(10))",
-    unmark=lambda w: f"ltrim({w}, chr(10))",
+    pair=lambda w, cut: f"struct_pack(word := {w}, cut := {str(cut).lower()})",
+    word=lambda pair: f"{pair}.word",
+    was_cut=lambda pair: f"{pair}.cut",
     at_least_two_equal=lambda w: f"(length({w}) > 1 AND right({w}, 1) = left(right({w}, 2), 1))",
 )
 

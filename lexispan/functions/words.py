@@ -24,7 +24,7 @@ def word_type(word: Column, to_lowercase: bool = True) -> Column:
 
 def is_alpha(word: Column) -> Column:
     """All characters are letters, and there is one."""
-    return word.rlike(r"^\p{L}+$")
+    return word.rlike(r"^\p{L}+\z")
 
 
 def dropping(*tests: Callable[[Column], Column], base: Callable[[Column], Column] = F.lower) -> Callable[[Column], Column]:

@@ -6,6 +6,7 @@ array<struct> once words are annotated. Spans are kept apart, see ``match``.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 from lexispan.functions.text import py_slice, sentence_pieces, words_of
 
 
+SALTS = 8
+
+
 @dataclass(frozen=True)
 class Corpus:
     sentences: DataFrame | None = None
@@ -40,29 +44,42 @@ def words(sentences: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return both.select(id_col, "sent_idx", "word_idx", F.col("w.words").alias("word"), "w.meta.*")
 
 
+def call(f: Callable[..., Column], word: Column, meta: Column | None = None) -> Column:
+    """``f`` of a word, or of the word and its annotations if it can take two positional arguments.
+
+    ``f`` is anything that can be called: a function, a method, a partial, an object.
+    """
+    return f(word, meta) if meta is not None and _takes_two(f) else f(word)
+
+
+def _takes_two(f: Callable) -> bool:
+    try:
+        parameters = inspect.signature(f).parameters.values()
+    except (TypeError, ValueError):  # some callables of C have no signature
+        return False
+    needed = [p for p in parameters if p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD) and p.default is p.empty]
+    return len(needed) == 2 or len(needed) < 2 and any(p.kind == p.VAR_POSITIONAL for p in parameters)
+
+
 def annotate(sentences: DataFrame, functions: dict[str, Callable[..., Column]]) -> DataFrame:
     """Sets the annotations of all words: name -> function of the word, or of the word and its
     annotations so far (if it takes two arguments). Earlier annotations are replaced."""
     if "meta" in sentences.columns:
-        pairs = F.arrays_zip("words", "meta")
-        value = lambda f, p: f(p["words"], p["meta"]) if _takes_two(f) else f(p["words"])
+        meta = F.transform(F.arrays_zip("words", "meta"), lambda p: F.struct(*[call(f, p["words"], p["meta"]).alias(k) for k, f in functions.items()]))
     else:
-        pairs = F.transform("words", lambda w: F.struct(w.alias("words")))
-        value = lambda f, p: f(p["words"])
-    meta = F.transform(pairs, lambda p: F.struct(*[value(f, p).alias(k) for k, f in functions.items()]))
-    return sentences.drop("meta").withColumn("meta", meta) if "meta" not in sentences.columns else sentences.select(*[c for c in sentences.columns if c != "meta"], meta.alias("meta"))
-
-
-def _takes_two(f: Callable) -> bool:
-    code = getattr(f, "__code__", None)
-    return code is not None and code.co_argcount - len(f.__defaults__ or ()) == 2
+        meta = F.transform("words", lambda w: F.struct(*[call(f, w).alias(k) for k, f in functions.items()]))
+    return sentences.select(*[c for c in sentences.columns if c != "meta"], meta.alias("meta"))
 
 
 def map_words(sentences: DataFrame, name: str, distinct_column: Callable[[Column], Column], id_col: str = "doc_id") -> DataFrame:
-    """(id, sent_idx, word_idx, word, name): a costly function, run once for each distinct word."""
-    rows = words(sentences, id_col)
+    """(id, sent_idx, word_idx, word, name): a costly Python function, run once for each distinct word.
+
+    Common words are dealt over ``SALTS`` keys, so none of them meets in one task.
+    """
+    rows = words(sentences, id_col).withColumn("salt", F.pmod(F.xxhash64(id_col, "sent_idx"), F.lit(SALTS)).cast("int"))
     vocabulary = rows.select("word").distinct().select("word", distinct_column(F.col("word")).alias(name))
-    return rows.join(vocabulary, "word").select(id_col, "sent_idx", "word_idx", "word", name)
+    salted = vocabulary.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.join(salted, ["word", "salt"]).select(id_col, "sent_idx", "word_idx", "word", name)
 
 
 def sentence_text(words_col: Column) -> Column:
@@ -79,3 +96,22 @@ def document_texts(docs: DataFrame, sentences: DataFrame, id_col: str = "doc_id"
 
 def sentence_slice(sentences: DataFrame, start: int | None, stop: int | None, id_col: str = "doc_id") -> DataFrame:
     return sentences.select(id_col, "sent_idx", sentence_text(py_slice(F.col("words"), start, stop)).alias("text"))
+
+
+def document_slice(sentences: DataFrame, start: int | None = None, stop: int | None = None, id_col: str = "doc_id") -> DataFrame:
+    """``document[start:stop]``: those of each document's sentences, with the clamping of Python slices."""
+    place = F.col("sent_idx")
+    if (start or 0) >= 0 and (stop or 0) >= 0:
+        return sentences.where((place >= (start or 0)) & (F.lit(True) if stop is None else place < stop))
+    sizes = sentences.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_"))
+    at = lambda x: F.lit(x) if x >= 0 else F.greatest(F.lit(0), F.col("n_") + x)
+    test = (place >= at(start or 0)) & (F.lit(True) if stop is None else place < at(stop))
+    return sentences.join(sizes, id_col).where(test).select(*sentences.columns)
+
+
+def document_item(sentences: DataFrame, index: int, id_col: str = "doc_id") -> DataFrame:
+    """``document[index]``: that sentence of each document; documents without it give none."""
+    if index >= 0:
+        return sentences.where(F.col("sent_idx") == index)
+    sizes = sentences.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_"))
+    return sentences.join(sizes, id_col).where(F.col("sent_idx") == F.col("n_") + index).select(*sentences.columns)

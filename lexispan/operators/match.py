@@ -1,5 +1,6 @@
 """Sliding-window matching: shrinking word windows are looked up in a knowledge base by an equi-join.
 
+``hits``: id, sent_idx, start, stop, responses; one row for each window that the knowledge base answers.
 ``spans``: id, sent_idx, matcher_idx, start, stop, candidates array<struct<start, stop, resp_idx,
 concept_id, response>>, longest window first, responses in their order; one row for each start that
 has a candidate.
@@ -13,8 +14,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A knowledge base of at most so many queries is sent to all executors; a larger one is joined by shuffles.
-BROADCAST_QUERIES = 200_000
+from lexispan.operators.corpus import call
+
+#: Windows of at most so many words are written out one by one, which the compiler likes; longer ones use lambdas.
+WRITTEN_OUT = 16
+
+
+def kept_words(sentences: DataFrame, pre_filter: Callable[..., Column] | None) -> Column:
+    """The words as they are looked up; null where ``pre_filter`` gives null or '', which leaves them out."""
+    filled = lambda w: F.when(w != "", w)
+    if pre_filter is None:
+        return F.col("words")
+    if "meta" in sentences.columns:
+        return F.transform(F.arrays_zip("words", "meta"), lambda p: filled(call(pre_filter, p["words"], p["meta"])))
+    return F.transform("words", lambda w: filled(call(pre_filter, w)))
 
 
 def windows(sentences: DataFrame, size: int = 4, pre_filter: Callable[..., Column] | None = None, id_col: str = "doc_id") -> DataFrame:
@@ -24,25 +37,26 @@ def windows(sentences: DataFrame, size: int = 4, pre_filter: Callable[..., Colum
     """
     if size <= 0:
         sentences, size = sentences.where(F.lit(False)), 1
-    filled = lambda w: F.when(w != "", w)  # noqa: E731  null is skipped by array_join, '' is not
-    if pre_filter is None:
-        kept = F.col("words")
-    elif "meta" in sentences.columns and pre_filter.__code__.co_argcount == 2:
-        kept = F.transform(F.arrays_zip("words", "meta"), lambda p: filled(pre_filter(p["words"], p["meta"])))
+    rows = sentences.where(F.size("words") > 0).select(id_col, "sent_idx", F.size("words").alias("n"), kept_words(sentences, pre_filter).alias("kept"))
+    starts = rows.select(id_col, "sent_idx", "n", "kept", F.posexplode_outer("kept").alias("start", "first"))
+    left = F.col("n") - F.col("start")
+    window = lambda k, query: F.struct((F.col("start") + k).cast("int").alias("stop"), query.alias("query"))
+    if size <= WRITTEN_OUT:
+        words = [F.col("first"), *[F.get("kept", F.col("start") + k) for k in range(1, size)]]
+        made = F.slice(F.array(*[window(k, F.concat_ws(" ", *words[:k])) for k in range(1, size + 1)]), 1, F.least(F.lit(size), left))
     else:
-        kept = F.transform("words", lambda w: filled(pre_filter(w)))
-    rows = sentences.where(F.size("words") > 0).select(id_col, "sent_idx", F.size("words").alias("n"), kept.alias("kept"))
-    query = lambda i, k: F.array_join(F.slice("kept", i + 1, k), " ")
-    at_start = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(size), F.col("n") - i)), lambda k: F.struct(i.alias("start"), (i + k).alias("stop"), query(i, k).alias("query")))
-    made = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 1), at_start))
+        made = F.transform(F.sequence(F.lit(1), F.least(F.lit(size), left)), lambda k: window(k, F.array_join(F.slice("kept", F.col("start") + 1, k), " ")))
     # explode_outer: a plain explode makes the optimizer compute the windows once more for a filter
-    return rows.select(id_col, "sent_idx", F.explode_outer(made).alias("w")).select(id_col, "sent_idx", "w.start", "w.stop", "w.query")
+    return starts.select(id_col, "sent_idx", "start", F.explode_outer(made).alias("w")).select(id_col, "sent_idx", "start", "w.stop", "w.query")
 
 
 def candidates_by_window(found: DataFrame, kb: DataFrame) -> DataFrame:
-    """Windows that the knowledge base answers, with ``responses``."""
-    small = kb.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    return found.join(F.broadcast(kb) if small else kb, "query")
+    """Windows that the knowledge base answers, with ``responses``.
+
+    The optimizer sends the knowledge base to all executors if its size in bytes, by the statistics of its
+    table or of the shuffle that made it, is below ``spark.sql.autoBroadcastJoinThreshold``, else it joins by shuffles.
+    """
+    return found.join(kb, "query")
 
 
 def candidates(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -51,20 +65,50 @@ def candidates(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.select(id_col, "sent_idx", "start", "stop", "resp_idx", F.col("r.concept_id").alias("concept_id"), F.col("r").alias("response"))
 
 
+def candidates_of(hit: Column) -> Column:
+    """The candidates of one hit (start, stop, responses)."""
+    return F.transform(hit["responses"], lambda r, k: F.struct(hit["start"].alias("start"), hit["stop"].alias("stop"), k.alias("resp_idx"), r["concept_id"].alias("concept_id"), r.alias("response")))
+
+
 def fold_spans(hits: DataFrame, matcher_idx: int = 0, id_col: str = "doc_id") -> DataFrame:
     """Hits of one start become a span."""
-    grouped = hits.groupBy(id_col, "sent_idx", "start").agg(F.max("stop").alias("stop"), F.collect_list(F.struct("start", "stop", "responses")).alias("hits"))
-    longest_first = F.array_sort("hits", lambda a, b: b["stop"] - a["stop"])
-    one = lambda h: F.transform(h["responses"], lambda r, k: F.struct(h["start"].alias("start"), h["stop"].alias("stop"), k.alias("resp_idx"), r["concept_id"].alias("concept_id"), r.alias("response")))
-    return grouped.select(id_col, "sent_idx", F.lit(matcher_idx).alias("matcher_idx"), "start", "stop", F.flatten(F.transform(longest_first, one)).alias("candidates"))
+    shrinking = F.array_sort(F.collect_list(F.struct((-F.col("stop")).alias("order"), "start", "stop", "responses")))
+    grouped = hits.groupBy(id_col, "sent_idx", "start").agg(F.max("stop").alias("stop"), shrinking.alias("hits"))
+    return grouped.select(id_col, "sent_idx", F.lit(matcher_idx).alias("matcher_idx"), "start", "stop", F.flatten(F.transform("hits", candidates_of)).alias("candidates"))
+
+
+def span_sizes(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, sent_idx, start, stop, n_candidates) of each span; no response is shuffled."""
+    return hits.groupBy(id_col, "sent_idx", "start").agg(F.max("stop").alias("stop"), F.sum(F.size("responses")).cast("int").alias("n_candidates"))
+
+
+def find_hits(sentences: DataFrame, kb: DataFrame, size: int = 4, pre_filter: Callable[..., Column] | None = None, id_col: str = "doc_id") -> DataFrame:
+    return candidates_by_window(windows(sentences, size, pre_filter, id_col), kb)
 
 
 def match(sentences: DataFrame, kb: DataFrame, size: int = 4, pre_filter: Callable[..., Column] | None = None, matcher_idx: int = 0, id_col: str = "doc_id") -> DataFrame:
-    return fold_spans(candidates_by_window(windows(sentences, size, pre_filter, id_col), kb), matcher_idx, id_col)
+    return fold_spans(find_hits(sentences, kb, size, pre_filter, id_col), matcher_idx, id_col)
+
+
+def find_span(sentences: DataFrame, kb: DataFrame, start: int, size: int = 4, pre_filter: Callable[..., Column] | None = None, id_col: str = "doc_id") -> DataFrame:
+    """The span at one start of each sentence.
+
+    Sentences without a candidate there, and those too short to have a word there, give an empty span: stop
+    is start, and there are no candidates.
+    """
+    n = F.size("words")
+    words = F.slice("words", start + 1, size) if start >= 0 and size > 0 else F.slice("words", 1, 0)
+    here = sentences.withColumns({"words": words, **({"meta": F.slice("meta", start + 1, max(size, 1))} if "meta" in sentences.columns else {})}).where(n > 0)
+    hits = candidates_by_window(windows(here, size, pre_filter, id_col).where(F.col("start") == 0), kb)
+    hits = hits.withColumns({"start": F.col("start") + start, "stop": F.col("stop") + start})
+    found = fold_spans(hits, 0, id_col)
+    kind = found.schema["candidates"].dataType
+    all_ = sentences.select(id_col, "sent_idx").join(found, [id_col, "sent_idx"], "left")
+    return all_.select(id_col, "sent_idx", F.lit(0).alias("matcher_idx"), F.lit(start).alias("start"), F.coalesce("stop", F.lit(start)).alias("stop"), F.coalesce("candidates", F.array().cast(kind)).alias("candidates"))
 
 
 def kb_from_callable(queries: DataFrame, query_method: Callable[[str], Iterable[dict] | None], response: str = "struct<concept_id:string>") -> DataFrame:
-    """A knowledge base (query, responses) from a Python function, called once for each distinct query."""
+    """A knowledge base (query, responses) from a Python function, asked once for each distinct query."""
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -82,3 +126,23 @@ def span_text(spans: DataFrame, sentences: DataFrame, id_col: str = "doc_id") ->
 
 def is_empty(candidates_col: Column, start: Column, stop: Column) -> Column:
     return (F.size(candidates_col) == 0) | (start == stop)
+
+
+def spans_of_candidates(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, start, stop, candidates) from candidates (keys, nth, start, stop, ...), added in order of nth.
+
+    The first candidate sets start and stop; later ones widen them, but where the span has no width so far
+    the next candidate sets them anew.
+    """
+    fields = [c for c in rows.columns if c not in (*keys, "nth")]
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("nth", F.struct(*fields).alias("c")))).alias("listed"))
+    held = listed.select(*keys, F.transform("listed", lambda x: x["c"]).alias("candidates"))
+    none = F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"))
+
+    def add(span: Column, c: Column) -> Column:
+        fresh = span["start"] == span["stop"]
+        pick = lambda f, name: F.when(fresh, c[name].cast("int")).otherwise(f(span[name], c[name].cast("int"))).alias(name)
+        return F.struct(pick(F.least, "start"), pick(F.greatest, "stop"))
+
+    folded = held.withColumn("span", F.aggregate("candidates", none, add))
+    return folded.select(*keys, "span.start", "span.stop", "candidates")

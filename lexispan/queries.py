@@ -14,7 +14,7 @@ from lexispan.operators import corpus as C
 from lexispan.operators import match as M
 from lexispan.operators import resolve as R
 from lexispan.plans.pipeline import Pipeline, load_texts, match_windows, process_spans, process_words
-from lexispan.sources.knowledge import from_ngrams
+from lexispan.sources.knowledge import from_dict, from_ngrams
 
 SPAN = ("doc_id", "sent_idx", "start", "stop")
 
@@ -50,9 +50,12 @@ def no_stop_words(w):
     return F.when(~F.lower(w).isin(*STOP_WORDS), F.lower(w))
 
 
-def flat(spans: DataFrame) -> DataFrame:
-    """Spans with scalar columns only."""
-    return spans.select(*SPAN, F.size("candidates").cast("int").alias("n_candidates"))
+def hits_of(spark, sf_dir, size=4, pre_filter=lowered):
+    return M.find_hits(sents(spark, sf_dir), base_kb(spark, sf_dir), size, pre_filter)
+
+
+def sizes_of(spark, sf_dir, size=4, pre_filter=lowered):
+    return M.span_sizes(hits_of(spark, sf_dir, size, pre_filter))
 
 
 def spans_of(spark, sf_dir, size=4, pre_filter=lowered):
@@ -60,7 +63,7 @@ def spans_of(spark, sf_dir, size=4, pre_filter=lowered):
 
 
 def span_max_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.resolve(spans_of(spark, sf_dir), {"best": R.longest})
+    found = R.resolve_hits(hits_of(spark, sf_dir), "best")
     return found.select(*SPAN, F.col("best.concept_id").alias("concept_id"), (F.col("best.stop") - F.col("best.start")).alias("n_words"))
 
 
@@ -81,7 +84,7 @@ def stems(mode, to_lowercase=True):
 
 
 def word_metadata(spark, sf_dir):
-    return C.map_words(sents(spark, sf_dir), "stem", stem).select("doc_id", "sent_idx", "word_idx", "word", "stem", F.lower("word").alias("lowercase"), word_type(F.col("word")).alias("type"))
+    return C.words(sents(spark, sf_dir)).select("doc_id", "sent_idx", "word_idx", "word", stem(F.col("word")).alias("stem"), F.lower("word").alias("lowercase"), word_type(F.col("word")).alias("type"))
 
 
 def word_metadata_replaced(spark, sf_dir):
@@ -114,11 +117,8 @@ def span_empty_check(spark, sf_dir):
 
 
 def match_stemmed(spark, sf_dir):
-    """Words and knowledge base both by stems; each distinct word is stemmed once."""
-    s = sents(spark, sf_dir)
-    by_sentence = C.map_words(s, "stem", stem).groupBy("doc_id", "sent_idx").agg(F.array_sort(F.collect_list(F.struct("word_idx", "stem"))).alias("w"))
-    stems_of = by_sentence.select("doc_id", "sent_idx", F.transform("w", lambda x: x["stem"]).alias("words"))
-    return flat(M.match(stems_of, stem_kb(spark, sf_dir), 4))
+    """Words and knowledge base both by stems; words are stemmed where they stand."""
+    return M.span_sizes(M.find_hits(sents(spark, sf_dir), stem_kb(spark, sf_dir), 4, stemmed))
 
 
 def stem_kb(spark, sf_dir):
@@ -156,17 +156,57 @@ def custom_query_method(spark, sf_dir):
     s = sents(spark, sf_dir)
     found = M.windows(s, 2, lowered)
     kb = M.kb_from_callable(found, lambda q: [{"concept_id": f"six:{q}"}] if len(q) == 6 and " " not in q else None)
-    return flat(M.fold_spans(M.candidates_by_window(found, kb)))
+    return M.span_sizes(M.candidates_by_window(found, kb))
 
 
 def custom_word_udf(spark, sf_dir):
-    """A Python function on words, run in batches over distinct words."""
+    """A Python function on words, run in batches where the words stand; for costly ones there is ``map_words``."""
 
     @F.pandas_udf("string")
     def backwards(w: pd.Series) -> pd.Series:
         return w.str[::-1]
 
-    return C.map_words(sents(spark, sf_dir), "backwards", backwards)
+    return C.words(sents(spark, sf_dir)).withColumn("backwards", backwards("word"))
+
+
+#: A small knowledge base with metadata in its responses.
+SUFFIX_KB = {"the": [{"concept_id": 3, "kind": "article", "weight": 0.5}], "of the": [{"concept_id": 7, "kind": "pair", "weight": 2.0}, {"concept_id": 8, "kind": "phrase", "weight": 1.5}], "the and": [{"concept_id": 11, "kind": "pair", "weight": 2.5}], "and": [{"concept_id": 4, "kind": "link", "weight": 0.25}]}
+
+
+def span_responses(spark, sf_dir):
+    """Whole responses as the candidates' metadata, and resolvers that see the span: its heaviest candidate and width."""
+    found = M.match(sents(spark, sf_dir), from_dict(spark, SUFFIX_KB), 2, lowered)
+    heaviest = lambda cs: F.get(F.array_sort(F.transform(cs, lambda c: F.struct((-c["response"]["weight"]).alias("w"), c["response"].alias("r")))), 0)["r"]
+    width = lambda cs, span: span["stop"] - span["start"]
+    out = R.resolve(found, {"heaviest": heaviest, "width": width})
+    return out.select(*SPAN, "heaviest.concept_id", "heaviest.kind", "heaviest.weight", "width")
+
+
+def resolver_python(spark, sf_dir):
+    """A resolver that is a Python function of the span."""
+    found = M.match(sents(spark, sf_dir), from_dict(spark, SUFFIX_KB), 2, lowered)
+    total = lambda span: sum(c["concept_id"] for c in span["candidates"]) + span["stop"]
+    return R.resolve_in_python(found, {"total": total}, {"total": "long"}).select(*SPAN, "total")
+
+
+def find_span(spark, sf_dir):
+    """The span at the third word of every sentence; an empty one where there is none."""
+    found = M.find_span(sents(spark, sf_dir), base_kb(spark, sf_dir), 2, 4, lowered)
+    return found.select(*SPAN, F.size("candidates").cast("int").alias("n_candidates"))
+
+
+def document_parts(spark, sf_dir):
+    """``document[1:-1]`` and ``document[-1]``."""
+    s = sents(spark, sf_dir)
+    part = lambda df, name: df.select("doc_id", F.lit(name).alias("part"), "sent_idx", C.sentence_text(F.col("words")).alias("text"))
+    return part(C.document_slice(s, 1, -1), "1:-1").unionByName(part(C.document_item(s, -1), "-1"))
+
+
+def spans_by_candidates(spark, sf_dir):
+    """Candidates added one by one to a span for each sentence, in order of their start, longest first."""
+    hits = M.candidates_by_window(M.windows(sents(spark, sf_dir), 2, lowered), from_dict(spark, SUFFIX_KB))
+    rows = M.candidates(hits).select("doc_id", "sent_idx", F.struct("start", (-F.col("stop")).alias("s"), "resp_idx").alias("nth"), "start", "stop", "concept_id")
+    return M.spans_of_candidates(rows, "doc_id", "sent_idx").select(*SPAN, F.size("candidates").cast("int").alias("n_candidates"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -193,22 +233,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "query_ngrams": query_ngrams,
         "prefilter_query": prefilter_query,
         "candidates": candidate_rows,
-        "spans": lambda spark, d: flat(spans_of(spark, d)),
+        "spans": lambda spark, d: sizes_of(spark, d),
         "span_text": span_text,
         "span_empty_check": span_empty_check,
-        "span_candidate_count": lambda spark, d: flat(spans_of(spark, d)).groupBy("n_candidates").agg(F.count(F.lit(1)).alias("n_spans")),
+        "span_candidate_count": lambda spark, d: sizes_of(spark, d).groupBy("n_candidates").agg(F.count(F.lit(1)).alias("n_spans")),
         "span_min_candidate": span_min_candidate,
         "match_stemmed": match_stemmed,
-        "match_drop_stopwords": lambda spark, d: flat(spans_of(spark, d, 4, no_stop_words)),
-        "match_default_prefilter": lambda spark, d: flat(spans_of(spark, d, 4, None)),
-        "match_window_1": lambda spark, d: flat(spans_of(spark, d, 1)),
-        "match_window_2": lambda spark, d: flat(spans_of(spark, d, 2)),
-        "match_window_8": lambda spark, d: flat(spans_of(spark, d, 8)),
+        "match_drop_stopwords": lambda spark, d: sizes_of(spark, d, 4, no_stop_words),
+        "match_default_prefilter": lambda spark, d: sizes_of(spark, d, 4, None),
+        "match_window_1": lambda spark, d: sizes_of(spark, d, 1),
+        "match_window_2": lambda spark, d: sizes_of(spark, d, 2),
+        "match_window_8": lambda spark, d: sizes_of(spark, d, 8),
         "two_matchers_append": two_matchers,
         "pipeline_full": pipeline_full,
         "pipeline_replace_node": pipeline_replace_node,
         "custom_query_method": custom_query_method,
         "custom_word_udf": custom_word_udf,
+        "span_responses": span_responses,
+        "resolver_python": resolver_python,
+        "find_span": find_span,
+        "document_parts": document_parts,
+        "spans_by_candidates": spans_by_candidates,
     }
 
 
@@ -265,6 +310,8 @@ def oracle_sql() -> dict[str, str]:
     plain = f"CASE WHEN lower(x) NOT IN ({STOP_SQL}) THEN lower(x) END"
     stem_kept = lambda source, i: f"SELECT {i}, sent_idx, count(*) AS n, list(stem ORDER BY word_idx) AS kept FROM ({words_sql(source, i)}) JOIN ({stem_sql(f'SELECT DISTINCT word FROM ({words_sql(source, i)})')}) USING (word) GROUP BY {i}, sent_idx"
     stem_kb_sql = f"SELECT DISTINCT query, item_id AS concept_id, 0 AS resp_idx FROM ({windows_sql(stem_kept('benchmark', 'item_id'), 4, 'item_id')})"
+    kb_rows = ", ".join(f"('{q}', {k}, {r['concept_id']}, '{r['kind']}', {r['weight']})" for q, rs in SUFFIX_KB.items() for k, r in enumerate(rs))
+    known = f"SELECT doc_id, sent_idx, start, stop, resp_idx, CAST(concept_id AS BIGINT) AS concept_id, kind, CAST(weight AS DOUBLE) AS weight FROM ({windows_sql(kept_sql(s, 'lower(x)'), 2)}) JOIN (VALUES {kb_rows}) AS kb (query, resp_idx, concept_id, kind, weight) USING (query)"
     return {
         "span_max_candidate": best_sql(found, "stop DESC"),
         "sentences": f"SELECT doc_id, sent_idx, CAST(len(words) AS INTEGER) AS n_words FROM ({s})",
@@ -289,7 +336,7 @@ def oracle_sql() -> dict[str, str]:
         "candidates": found,
         "spans": spans_sql(found),
         "span_text": f"SELECT doc_id, sent_idx, start, stop, array_to_string(words[start + 1:stop], ' ') AS span_text FROM ({spans_sql(found)}) JOIN ({s}) USING (doc_id, sent_idx)",
-        "span_empty_check": f"SELECT doc_id, count(*) AS n_spans, CAST(0 AS BIGINT) AS n_empty FROM ({spans_sql(found)}) GROUP BY doc_id",
+        "span_empty_check": f"SELECT doc_id, count(*) AS n_spans, CAST(count(*) FILTER (WHERE n_candidates = 0 OR start = stop) AS BIGINT) AS n_empty FROM ({spans_sql(found)}) GROUP BY doc_id",
         "span_candidate_count": f"SELECT n_candidates, count(*) AS n_spans FROM ({spans_sql(found)}) GROUP BY n_candidates",
         "span_min_candidate": best_sql(found, "stop"),
         "match_stemmed": spans_sql(f"SELECT doc_id, sent_idx, start, stop FROM ({windows_sql(stem_kept('documents', 'doc_id'), 4)}) JOIN ({stem_kb_sql}) USING (query)"),
@@ -303,4 +350,9 @@ def oracle_sql() -> dict[str, str]:
         "pipeline_replace_node": f"SELECT * EXCLUDE (n_words) FROM ({best_sql(candidates_sql(size=2), 'stop DESC')})",
         "custom_query_method": f"SELECT doc_id, sent_idx, start, max(stop) AS stop, CAST(count(*) AS INTEGER) AS n_candidates FROM ({windows_sql(kept_sql(s, 'lower(x)'), 2)}) WHERE length(query) = 6 AND query NOT LIKE '% %' GROUP BY doc_id, sent_idx, start",
         "custom_word_udf": f"SELECT *, reverse(word) AS backwards FROM ({w})",
+        "span_responses": f"SELECT doc_id, sent_idx, start, whole AS stop, concept_id, kind, weight, whole - start AS width FROM (SELECT *, max(stop) OVER s AS whole, row_number() OVER (PARTITION BY doc_id, sent_idx, start ORDER BY weight DESC) AS nth FROM ({known}) WINDOW s AS (PARTITION BY doc_id, sent_idx, start)) WHERE nth = 1",
+        "resolver_python": f"SELECT doc_id, sent_idx, start, max(stop) AS stop, CAST(sum(concept_id) + max(stop) AS BIGINT) AS total FROM ({known}) GROUP BY doc_id, sent_idx, start",
+        "find_span": f"SELECT doc_id, sent_idx, CAST(2 AS INTEGER) AS start, coalesce(stop, 2) AS stop, coalesce(n_candidates, 0) AS n_candidates FROM ({s}) LEFT JOIN (SELECT * FROM ({spans_sql(found)}) WHERE start = 2) USING (doc_id, sent_idx)",
+        "document_parts": f"WITH s AS (SELECT doc_id, sent_idx, coalesce(array_to_string(words, ' '), '') AS text, count(*) OVER (PARTITION BY doc_id) AS n FROM ({s})) SELECT doc_id, '1:-1' AS part, sent_idx, text FROM s WHERE sent_idx >= 1 AND sent_idx < n - 1 UNION ALL SELECT doc_id, '-1', sent_idx, text FROM s WHERE sent_idx = n - 1",
+        "spans_by_candidates": f"SELECT doc_id, sent_idx, min(start) AS start, max(stop) AS stop, CAST(count(*) AS INTEGER) AS n_candidates FROM ({known}) GROUP BY doc_id, sent_idx",
     }
