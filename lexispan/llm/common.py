@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +15,16 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one named in ``spark.checkpoint.dir``.
 
-    Raises ValueError where none is named: a folder of one machine would not be shared.
+    Where none is named, a session on one machine (a local master, as in tests) gets a temporary folder;
+    on a cluster that raises ValueError, as such a folder would not be shared.
     """
-    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY) or sc.getCheckpointDir()
     if not named:
-        raise ValueError(f"{CHECKPOINT_KEY} has to name a folder that driver and executors share")
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError(f"{CHECKPOINT_KEY} has to name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexispan-"))
+        named = sc.getCheckpointDir()
     return named.rstrip("/")
 
 
