@@ -250,9 +250,10 @@ def shingle_classes(df: DataFrame, scratch: Scratch, percent: int, words: int, i
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the candidate pairs (a, b), those of enough similarity; filters under the other orders first."""
-    side = lambda s: sets.select(F.col("key").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "tokens", "second", "third")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
+    """Of the candidate pairs (a, b), those of enough similarity; whole sets are sent only for those that pass the other orders' filters."""
+    side = lambda s, *names: sets.select(F.col("key").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in names])
+    near = pairs.join(side("a", "second", "third"), "a").join(side("b", "second", "third"), "b").where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
+    both = near.select("a", "b").join(side("a", "n", "tokens"), "a").join(side("b", "n", "tokens"), "b")
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     return both.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
@@ -290,15 +291,23 @@ def _compare_blocks(percent: int, slab: int = 4096):
 def block_links(open_: DataFrame, sets: DataFrame, scratch: Scratch, percent: int, block: int = 512) -> DataFrame:
     """(a, b): labels that have a link between them, for tokens of many sets that are not yet one component.
 
-    Such sets form families by the tokens they share. A family of any size is dealt to blocks, and each
-    two blocks are compared in one task, so that no pairs are emitted and a set is sent once a block.
+    Such sets form families by the tokens they share. In each, sets outside of its largest component are
+    strays; links can only join a stray to a stray or to another set. Strays and others are dealt to blocks, and each block
+    of strays meets each block of either in one task, so that no pairs are emitted: a set is sent once for
+    each block of strays, and a stray once for each block.
     """
     member = scratch.save(open_.select("key", "label", "main").distinct(), "family-members")
     families = components(member.where("label <> main").select(F.col("label").alias("a"), F.col("main").alias("b")), scratch, "families")
     member = member.select("key", "label").distinct().join(families.select(F.col("node").alias("label"), F.col("label").alias("family")), "label")
-    held = scratch.save(member.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "families")
-    dealt = member.join(held, "family").join(sets.select("key", "n", "tokens"), "key").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    sent = dealt.select("family", "label", "n", "tokens", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    sizes = scratch.save(member.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c")), "family-labels")
+    in_blocks = lambda c: F.ceil(c / block).cast("int")
+    held = sizes.groupBy("family").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("all")).select("family", F.col("most.label").alias("main"), in_blocks(F.col("all") - F.col("most.c")).alias("stray_blocks"), in_blocks(F.col("most.c")).alias("main_blocks"))
+    held = scratch.save(held, "families")
+    stray = F.col("label") != F.col("main")
+    own = F.when(stray, F.pmod(F.xxhash64("key"), "stray_blocks")).otherwise(F.col("stray_blocks") + F.pmod(F.xxhash64("key"), "main_blocks"))
+    others = F.when(stray, F.col("stray_blocks") + F.col("main_blocks")).otherwise(F.col("stray_blocks"))
+    dealt = member.join(held, "family").join(sets.select("key", "n", "tokens"), "key").withColumn("chunk", own.cast("int"))
+    sent = dealt.select("family", "label", "n", "tokens", "chunk", F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
     sent = sent.select("family", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"), "label", "n", "tokens", "chunk")
     return scratch.save(sent.groupBy("family", "first", "second").applyInArrow(_compare_blocks(percent), "a long, b long"), "block-links")
 

@@ -1,11 +1,12 @@
 """Operator 3: nearest neighbours by a hierarchical k-means tree with best-bin-first search.
 
-The tree is fitted on the driver to a bounded sample (``sample`` vectors of the lowest hashed ids).
-Every vector then goes down to its leaf. A query takes nodes from a priority queue, best centroid
-first, until it has visited as many leaves as calibration found to reach the wanted recall on held
-sample queries, and these hold more vectors than asked for. Visits and vectors meet in cells: groups of neighbouring leaves, split by a hash
-where they hold many vectors, so that no cell is large; each cell answers a block of queries with its
-best rows, and these are ranked at the end.
+The tree is fitted on the driver to a bounded sample (``sample`` vectors of the lowest hashed ids), so it
+grows with the table up to that bound. Every vector then goes down to its leaf. A query takes nodes from
+a priority queue, best centroid first, until it has visited as many leaves as calibration found to reach
+the wanted recall on vectors that were held out of the fit, and these hold more vectors than asked for.
+Visits and vectors meet in cells: groups of neighbouring leaves, split by a hash where they hold many
+vectors, so that no cell is large. A cell that many queries visit is answered in blocks of queries; only
+such a cell's vectors are sent more than once. Best rows of all cells are ranked at the end.
 
 Defined cases: vectors that are null, zero, of another dimension than most, or with null or
 non-finite components take no part; with fewer candidates than asked for, all are returned; ties go
@@ -30,7 +31,7 @@ from lexispan.llm.common import Scratch, require
 class KMeansTree:
     """Centroids of all nodes; children of node i are ``children[i]``, none for a leaf."""
 
-    def __init__(self, x: np.ndarray, branches: int = 8, leaf_rows: int = 48, rounds: int = 8):
+    def __init__(self, x: np.ndarray, branches: int = 8, leaf_rows: int = 64, rounds: int = 8):
         self.centroids: list[np.ndarray] = [x.mean(0)]
         self.children: list[list[int]] = [[]]
         self.leaf_of_node: dict[int, int] = {}
@@ -120,7 +121,7 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def nearest_neighbours(df: DataFrame, queries: DataFrame | None = None, k: int = 20, recall: float = 0.96, sample: int = 16384, cell_rows: int = 16384, query_block: int = 16384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest_neighbours(df: DataFrame, queries: DataFrame | None = None, k: int = 20, recall: float = 0.96, sample: int = 65536, cell_rows: int = 16384, query_block: int = 16384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): the k found of largest inner product for each query.
 
     ``queries`` is a frame of the same columns; by default all rows are queries.
@@ -133,9 +134,9 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame | None = None, k: int =
     if not taken.num_rows:
         return spark.createDataFrame([], schema).withColumnRenamed("id", id_col)
     x = matrix(taken["v"].combine_chunks())
-    held = x[:: max(1, len(x) // 256)]
-    tree = KMeansTree(x)
-    visits = tree.calibrate(x, held, k + 1, recall)
+    held = np.arange(len(x)) % max(2, len(x) // 256) == 1 if len(x) > 1 else np.ones(1, dtype=bool)
+    tree = KMeansTree(x[~held] if not held.all() else x)
+    visits = tree.calibrate(x, x[held], k + 1, recall)
     scratch = Scratch(spark, "neighbours")
 
     def to_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +161,6 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame | None = None, k: int =
     first_cell = [0]
     for p in parts_of:
         first_cell.append(first_cell[-1] + p)
-    blocks = max(1, math.ceil(asked.count() / query_block))
     leaf_cells = np.array([first_cell[group_of[leaf]] for leaf in range(tree.leaves)])
     leaf_parts = np.array([parts_of[group_of[leaf]] for leaf in range(tree.leaves)])
 
@@ -169,8 +169,7 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame | None = None, k: int =
             leaf, ids = b.column(2).to_numpy(), b.column(0).to_numpy()
             part = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % leaf_parts[leaf] if len(b) else []
             cell = leaf_cells[leaf] + part if len(b) else []
-            for q in range(blocks):  # each block of queries meets each row once
-                yield pa.record_batch({"cell": pa.array(np.asarray(cell, dtype=np.int64) * blocks + q, pa.int64()), "id": b.column(0), "v": b.column(1), "leaf": b.column(2)})
+            yield pa.record_batch({"cell": pa.array(np.asarray(cell, dtype=np.int64), pa.int64()), "id": b.column(0), "v": b.column(1), "leaf": b.column(2)})
 
     def to_visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,7 +181,7 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame | None = None, k: int =
                     by_group.setdefault(group_of[leaf], []).append(leaf)
                 for g, found in by_group.items():
                     for c in range(first_cell[g], first_cell[g + 1]):
-                        cells.append(c * blocks + int(ids[r]) // 7 % blocks)
+                        cells.append(c)
                         source.append(r)
                         leaves.append(found)
             at = pa.array(source, pa.int64())
@@ -218,9 +217,12 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame | None = None, k: int =
         join = lambda a, t: pa.array(np.concatenate(a) if a else [], t)
         return pa.table({"query_id": join(out_q, pa.int64()), "id": join(out_id, pa.int64()), "score": join(out_s, pa.float64())})
 
-    visits_table = asked.select("id", "v").mapInArrow(to_visits, "cell long, id long, v array<double>, leaves array<int>")
-    cells = index.mapInArrow(to_cells, "cell long, id long, v array<double>, leaf int")
-    found = visits_table.groupBy("cell").cogroup(cells.groupBy("cell")).applyInArrow(answer, "query_id long, id long, score double")
+    visits_table = scratch.save(asked.select("id", "v").mapInArrow(to_visits, "cell long, id long, v array<double>, leaves array<int>"), "visits")
+    blocks = scratch.save(visits_table.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("blocks")), "blocks")
+    cells = index.mapInArrow(to_cells, "cell long, id long, v array<double>, leaf int").join(blocks, "cell")
+    cells = cells.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v", "leaf")
+    visits_table = visits_table.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "id", "v", "leaves")
+    found = visits_table.groupBy("cell", "block").cogroup(cells.groupBy("cell", "block")).applyInArrow(answer, "query_id long, id long, score double")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k)
     ranked = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("rank", "best"))
     out = ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("best.id").alias("id"), (-F.col("best.s")).alias("score"))
