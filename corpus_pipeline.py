@@ -6,10 +6,7 @@ return the columns of ``documents``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,7 +15,9 @@ from lexispan.llm.common import Scratch
 from lexispan.llm.jaccard import near_duplicates
 from lexispan.llm.packing import pack_documents
 from lexispan.llm.quality import robust_quality
-from lexispan.llm.suffixes import union_spans, with_spans
+from lexispan.llm.suffixes import cut_repeats
+
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 51
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,25 +43,16 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated stretches of 400 bytes or more go from every text; a character cut in two goes whole."""
-    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    rows = docs.select(F.struct(*rest).alias("id"), "text")
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = []
-            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if spans:
-                    data, found = text.encode("utf-8", "replace"), union_spans(spans)
-                    parts = [data[a:z] for a, z in zip([0, *[e for _, e in found]], [*[s for s, _ in found], len(data)])]
-                    text = "".join(p.decode("utf-8", "ignore") for p in parts)
-                texts.append(text)
-            yield pa.record_batch({"id": b.column(0), "text": pa.array(texts, pa.string())})
-
-    kept = with_spans(rows, id_col="id").mapInArrow(cut, f"id {kind}, text string")
-    columns = {c: F.col("id")[c] for c in rest} | {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return kept.select(*[columns[c].alias(c) for c in docs.columns])
+    """Passages of over 50 words that repeat go from every text; a character cut in two goes whole.
+
+    Such a passage is a stretch that repeated strings of ``PASSAGE_BYTES`` bytes cover, with
+    ``PASSAGE_WORDS`` words or more. 51 words of three letters are 203 bytes, so shorter passages than
+    these bytes have unusually short words. Null texts stay null; rows that are equal in all columns are
+    copies of each other. Extra columns are kept.
+    """
+    if "n_chars" not in docs.columns:
+        return cut_repeats(docs, PASSAGE_BYTES, PASSAGE_WORDS)
+    return cut_repeats(docs, PASSAGE_BYTES, PASSAGE_WORDS).select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
