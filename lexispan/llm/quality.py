@@ -102,23 +102,40 @@ def _distance() -> Column:
     return reduce(add, [F.col(f"p_{i}_{j}") * d[i] * d[j] * (1.0 if i == j else 2.0) for i in range(P) for j in range(i + 1)])
 
 
+#: Estimates of at most so many groups (less than 2 KB each) are sent to all executors.
+BROADCAST_GROUPS = 20_000
+SALTS = 32
+
+
+def _met(rows: DataFrame, table: DataFrame, groups: int, *more: str, how: str = "inner") -> DataFrame:
+    """Rows with what ``table`` holds of their group.
+
+    The table is broadcast if there are few groups, by a count; else rows of a group are dealt over ``SALTS``
+    keys, so a group of any size is met by many tasks.
+    """
+    if groups <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(table), ["grp", *more], how)
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.floor(F.rand(7) * SALTS).cast("int")).join(salted, ["grp", "salt", *more], how).drop("salt")
+
+
 def _floored(i: int, j: int, covariance: Column) -> Column:
     return covariance + FLOORS[i] ** 2 if i == j else covariance
 
 
-def _starts(rows: DataFrame, scratch: Scratch) -> DataFrame:
+def _starts(rows: DataFrame, scratch: Scratch, groups: int) -> DataFrame:
     """(grp, s, means, covariances) of the three starts of each group of ``rows`` (grp, values)."""
     values = rows.select("grp", F.posexplode(F.array(*VALUES)).alias("i", "x"))
     to_bin = lambda x: F.round(x * 500).cast("long")
     centre = _binned_quantile(values.select("grp", "i", to_bin(F.col("x")).alias("b")), ["grp", "i"], "b", 0.5).select("grp", "i", (F.col("bin") / 500).alias("m"))
     centre = scratch.save(centre, "centre")
-    spread = values.join(centre, ["grp", "i"]).select("grp", "i", "m", to_bin(F.abs(F.col("x") - F.col("m"))).alias("b"))
+    spread = _met(values, centre, groups, "i").select("grp", "i", "m", to_bin(F.abs(F.col("x") - F.col("m"))).alias("b"))
     mad = _binned_quantile(spread, ["grp", "i"], "b", 0.5).join(centre, ["grp", "i"])
     floor = F.get(F.array(*map(F.lit, FLOORS)), "i")
     width = F.sqrt(F.pow(F.col("bin") / 500 * 1.4826, 2) + floor * floor)
     columns = [F.max(F.when(F.col("i") == i, c)).alias(f"{name}_{i}") for i in range(P) for name, c in (("m", F.col("m")), ("w", width))]
     scale = scratch.save(mad.groupBy("grp").agg(*columns), "scale0")
-    z = rows.join(scale, "grp").select("grp", *[((F.col(f"x_{i}") - F.col(f"m_{i}")) / F.col(f"w_{i}")).alias(f"z_{i}") for i in range(P)])
+    z = _met(rows, scale, groups).select("grp", *[((F.col(f"x_{i}") - F.col(f"m_{i}")) / F.col(f"w_{i}")).alias(f"z_{i}") for i in range(P)])
     length = F.sqrt(reduce(add, [F.col(f"z_{i}") ** 2 for i in range(P)]) + 1e-9)
     drawn = z.select("grp", *[F.tanh(f"z_{i}").alias(f"t_{i}") for i in range(P)], *[(F.col(f"z_{i}") / length).alias(f"u_{i}") for i in range(P)])
     sums = drawn.groupBy("grp").agg(*[F.avg(F.col(f"{n}_{i}") * F.col(f"{n}_{j}")).alias(f"{n}_{i}_{j}") for n in "tu" for i in range(P) for j in range(i + 1)])
@@ -132,27 +149,27 @@ def _starts(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def _concentrated(rows: DataFrame, estimate: DataFrame, scratch: Scratch, share: float, name: str) -> DataFrame:
+def _concentrated(rows: DataFrame, estimate: DataFrame, scratch: Scratch, share: float, name: str, groups: int) -> DataFrame:
     """One concentration step of every estimate (grp, s, ...)."""
-    near = rows.join(estimate, "grp").select("grp", "s", *VALUES, F.floor(F.log(_distance() + 1e-6) * BINS).cast("long").alias("b"))
+    near = _met(rows, estimate, groups).select("grp", "s", *VALUES, F.floor(F.log(_distance() + 1e-6) * BINS).cast("long").alias("b"))
     cut = scratch.save(_binned_quantile(near, ["grp", "s"], "b", share).withColumnRenamed("bin", "cut"), f"cut-{name}")
-    core = near.join(cut, ["grp", "s"]).where(F.col("b") <= F.col("cut"))
+    core = _met(near, cut, groups, "s").where(F.col("b") <= F.col("cut"))
     means = [F.avg(f"x_{i}").alias(f"m_{i}") for i in range(P)]
     products = [_floored(i, j, CONSISTENCY * (F.avg(F.col(f"x_{i}") * F.col(f"x_{j}")) - F.avg(f"x_{i}") * F.avg(f"x_{j}"))).alias(f"c_{i}_{j}") for i in range(P) for j in range(i + 1)]
     return scratch.save(_with_inverse(core.groupBy("grp", "s").agg(*means, *products)), f"estimate-{name}")
 
 
-def covariance_determinants(rows: DataFrame, scratch: Scratch, share: float, steps: int) -> DataFrame:
+def covariance_determinants(rows: DataFrame, scratch: Scratch, share: float, steps: int, groups: int) -> DataFrame:
     """(grp, means, covariances, logdet): the estimate of least determinant of each group of ``rows`` (grp, values)."""
-    estimate = scratch.save(_with_inverse(_starts(rows, scratch)), "estimate-start")
+    estimate = scratch.save(_with_inverse(_starts(rows, scratch, groups)), "estimate-start")
     for k in range(2):
-        estimate = _concentrated(rows, estimate, scratch, share, f"all{k}")
+        estimate = _concentrated(rows, estimate, scratch, share, f"all{k}", groups)
     best = estimate.groupBy("grp").agg(F.min(F.struct("logdet", "s")).alias("best")).select("grp", "best.s")
     estimate = scratch.save(estimate.join(best, ["grp", "s"]), "estimate-best")
     for k in range(steps):
-        last, estimate = estimate, _concentrated(rows, estimate, scratch, share, f"best{k}")
+        last, estimate = estimate, _concentrated(rows, estimate, scratch, share, f"best{k}", groups)
         fell = last.select("grp", F.col("logdet").alias("before")).join(estimate, "grp").agg(F.max(F.col("before") - F.col("logdet")).alias("fell")).first()["fell"]
-        if fell is None or fell < 1e-3:
+        if fell is None or fell < 0.01:  # bins of distances are a hundredth wide
             break
     return estimate.select("grp", *MEANS, *COVARIANCES, "logdet")
 
@@ -167,7 +184,7 @@ def _drawn(estimate: DataFrame, above: DataFrame, prior_rows: float) -> DataFram
     return both.select("grp", "n", *means, *mixed)
 
 
-def robust_quality(df: DataFrame, cutoff: float = CHI2_CUT, share: float = 0.75, steps: int = 8, prior_rows: float = 60.0, min_words: int = 10, repeat_percent: int = 20, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", payload: list[str] | None = None) -> DataFrame:
+def robust_quality(df: DataFrame, cutoff: float = CHI2_CUT, share: float = 0.75, steps: int = 6, prior_rows: float = 60.0, min_words: int = 10, repeat_percent: int = 20, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", payload: list[str] | None = None) -> DataFrame:
     """(row, the base counts, base_failed, distance, kept) of each row.
 
     row is the whole input row, or its columns ``payload``; only these and counts are written to the shared folder.
@@ -181,10 +198,11 @@ def robust_quality(df: DataFrame, cutoff: float = CHI2_CUT, share: float = 0.75,
     counted = counted.select("row.row", *groups, *[c for c in counted.columns if c != "row"], failed.alias("base_failed"), *[x.cast("double").alias(f"x_{i}") for i, x in enumerate(statistic_vector())])
     rows = scratch.save(counted, "rows")
     plain = rows.where(~F.col("base_failed"))
+    sizes = scratch.save(plain.groupBy("all_", "lang_", "grp").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    groups = sizes.count()
     leveled = plain.select(F.explode(F.array("all_", "lang_", "grp")).alias("grp"), *VALUES)
-    estimate = covariance_determinants(leveled, scratch, share, steps)
+    estimate = covariance_determinants(leveled, scratch, share, steps, groups)
 
-    sizes = plain.groupBy("all_", "lang_", "grp").agg(F.count(F.lit(1)).alias("n"))
     size_of = lambda level, above: sizes.groupBy(F.col(level).alias("grp"), F.col(above).alias("above")).agg(F.sum("n").alias("n"))
     wide = [F.col(m) for m in MEANS] + [F.lit((PRIOR_WIDTH * FLOORS[i]) ** 2 if i == j else 0.0).alias(f"c_{i}_{j}") for i in range(P) for j in range(i + 1)]
     settled = estimate.where("grp = '*'").select("grp", *wide)
@@ -193,10 +211,11 @@ def robust_quality(df: DataFrame, cutoff: float = CHI2_CUT, share: float = 0.75,
     settled = scratch.save(_with_inverse(settled).drop("n", "logdet", *COVARIANCES), "settled")
 
     # distances of heavy-tailed groups are scaled to the usual median; few rows take that of all
-    placed = plain.join(settled, "grp").select(F.explode(F.array(F.lit("*"), "grp")).alias("grp"), F.floor(F.log(_distance() + 1e-6) * BINS).cast("long").alias("b"))
+    placed = _met(plain, settled, groups).select(F.explode(F.array(F.lit("*"), "grp")).alias("grp"), F.floor(F.log(_distance() + 1e-6) * BINS).cast("long").alias("b"))
     middle = scratch.save(_binned_quantile(placed, ["grp"], "b", 0.5).select("grp", F.greatest(F.lit(1.0), F.exp(F.col("bin") / BINS) / CHI2_MEDIAN).alias("scale")), "middle")
     usual = middle.where("grp = '*'").select(F.col("grp").alias("above"), F.col("scale").alias("usual"))
     scale = middle.join(size_of("grp", "all_"), "grp").join(usual, "above").select("grp", ((F.col("n") * F.col("scale") + prior_rows * F.col("usual")) / (F.col("n") + prior_rows)).alias("scale"))
-    judged = rows.join(settled.join(scale, "grp"), "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
+    final = scratch.save(settled.join(scale, "grp"), "final")
+    judged = _met(rows, final, groups, how="left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return judged.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))

@@ -110,5 +110,34 @@ FROM placed WHERE page_id % 389 = 5 OR held <> good
 """
 
 
+# Sets of shingles, pairs by their common shingles, and the closure of the links.
+JACCARD_SQL = """
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+placed AS (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END))) AS i FROM texts),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 5], ' ') AS s FROM placed),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS component_id FROM documents LEFT JOIN sizes USING (doc_id)
+"""
+# Bytes are pairs of hexadecimal digits here; windows are grouped by two hashes.
+REPEATS_SQL = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, h, unnest(range(length(h) // 2 - 399)) AS s FROM texts WHERE length(h) >= 800),
+windows AS (SELECT doc_id, s, hash(substr(h, 2 * s + 1, 800)) AS x, hash(substr(h, 2 * s + 201, 600)) AS y FROM starts),
+repeated AS (SELECT doc_id, s FROM windows QUALIFY count(*) OVER (PARTITION BY x, y) > 1),
+marked AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER d <= 400 THEN 0 ELSE 1 END AS fresh FROM repeated WINDOW d AS (PARTITION BY doc_id ORDER BY s)),
+numbered AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(s) AS a, max(s) + 400 AS z FROM numbered GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN cut USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_merkle_fixity": FIXITY_SQL}
+    return {"op1_merkle_fixity": FIXITY_SQL, "op2_ngram_jaccard": JACCARD_SQL, "op6_deep_shallow": REPEATS_SQL}

@@ -284,11 +284,19 @@ def test_quality_verdicts_against_numpy(spark):
         assert got[k]["kept"] == (d <= quality.CHI2_CUT) or 0.9 < d / quality.CHI2_CUT < 1.1
     bad = {k for k, t, *_ in rows if "##" in (t or "")}
     assert len({k for k in bad if got[k]["kept"]}) <= 1 and sum(not got[k]["kept"] for k in want if k not in bad) == 0
-    held = quality.covariance_determinants(spark.createDataFrame([("x", *map(float, v)) for v in np.random.default_rng(3).normal(size=(200, 5)) * np.r_[np.ones(160), np.full(40, 6.0)][:, None]], ["grp", *quality.VALUES]), scratch, 0.75, 8).first()
+    held = quality.covariance_determinants(spark.createDataFrame([("x", *map(float, v)) for v in np.random.default_rng(3).normal(size=(200, 5)) * np.r_[np.ones(160), np.full(40, 6.0)][:, None]], ["grp", *quality.VALUES]), scratch, 0.75, 8, groups=1).first()
     x = np.random.default_rng(3).normal(size=(200, 5)) * np.r_[np.ones(160), np.full(40, 6.0)][:, None]
     assert held["logdet"] <= numpy_determinant(x)[0] + 0.1
 
 
+def test_quality_of_many_groups(spark, docs, monkeypatch):
+    """Beyond the bound of what is broadcast, salted joins give the same."""
+    judge = lambda: {(r["row"]["doc_id"], r["kept"], None if r["distance"] is None else round(r["distance"], 6)) for r in robust_quality(docs, payload=["doc_id"]).collect()}
+    want = judge()
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)
+    assert judge() == want
+
+
 def test_quality_of_few_rows(spark):
     """No size at which the rule changes: few rows are judged mildly, by the wide prior."""
     r = random.Random(4)
