@@ -31,7 +31,7 @@ from lexispan.llm.common import Scratch, require
 class KMeansTree:
     """Centroids of all nodes; children of node i are ``children[i]``, none for a leaf."""
 
-    def __init__(self, x: np.ndarray, branches: int = 8, leaf_rows: int = 64, rounds: int = 8):
+    def __init__(self, x: np.ndarray, branches: int = 8, leaf_rows: int = 48, rounds: int = 8):
         self.centroids: list[np.ndarray] = [x.mean(0)]
         self.children: list[list[int]] = [[]]
         self.leaf_of_node: dict[int, int] = {}
@@ -135,7 +135,7 @@ def nearest_neighbours(df: DataFrame, queries: DataFrame | None = None, k: int =
         return spark.createDataFrame([], schema).withColumnRenamed("id", id_col)
     x = matrix(taken["v"].combine_chunks())
     held = np.arange(len(x)) % max(2, len(x) // 256) == 1 if len(x) > 1 else np.ones(1, dtype=bool)
-    tree = KMeansTree(x[~held] if not held.all() else x)
+    tree = KMeansTree(x[~held] if not held.all() else x, leaf_rows=max(48, len(x) // 128))  # deeper trees cost more to walk than they save
     visits = tree.calibrate(x, x[held], k + 1, recall)
     scratch = Scratch(spark, "neighbours")
 
