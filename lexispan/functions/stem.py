@@ -35,8 +35,12 @@ class Columns:
     def add(self, w, tail):
         return F.concat(w, F.lit(tail)) if tail else w
 
+    def bind(self, value, f):
+        return F.transform(F.array(value), f)[0]
+
     def matches(self, w, pattern):
-        return F.regexp_replace(w, "^y", "Y").rlike(pattern.replace("$", r"\z"))
+        """A y at the start is a consonant: it is not left to the vowels that may follow."""
+        return w.rlike(pattern.replace(f"^({C})?", f"^(?:{C}|(?!y))").replace("$", r"\z"))
 
     def length(self, w):
         return F.length(w)
@@ -78,6 +82,9 @@ class Sql:
     def add(self, w, tail):
         return f"({w} || '{tail}')" if tail else w
 
+    def bind(self, value, f):
+        return f(value)
+
     def matches(self, w, pattern):
         return f"regexp_matches(regexp_replace({w}, '^y', 'Y'), '{pattern}')"
 
@@ -117,32 +124,31 @@ def steps(b, mode: str) -> list[Callable]:
 
     def by_rules(w, rules):
         """First suffix that fits decides; where its condition fails the word stays."""
-        cases = []
+        by_letter = {}  # by the last letter first, so that most words meet few suffixes
         for suffix, tail, test in rules:
             stem = b.drop(w, len(suffix))
             changed = b.add(stem, tail)
-            cases.append((b.ends(w, suffix), b.choose([(test(stem), changed)], w)))
-        return b.choose(cases, w)
+            by_letter.setdefault(suffix[-1], []).append((b.ends(w, suffix), b.choose([(test(stem), changed)], w)))
+        return b.choose([(b.ends(w, letter), b.choose(cases, w)) for letter, cases in by_letter.items()], w)
 
     def step_1a(w):
         cases = [(b.both(b.ends(w, "ies"), b.equal_length(w, 4)), b.drop(w, 1))] if nltk else []
         cases += [(b.ends(w, "sses"), b.drop(w, 2)), (b.ends(w, "ies"), b.drop(w, 2)), (b.ends(w, "ss"), w), (b.ends(w, "s"), b.drop(w, 1))]
-        return b.choose(cases, w)
+        return b.choose([(b.ends(w, "s"), b.choose(cases, w))], w)
 
-    # 1b in two steps: the first also tells whether it cut the word, so that the second repairs its end
     def step_1b(w):
-        cases = [(b.ends(w, "ied"), b.pair(b.choose([(b.equal_length(w, 4), b.drop(w, 1))], b.drop(w, 2)), False))] if nltk else []
-        cases.append((b.ends(w, "eed"), b.pair(b.choose([(some(b.drop(w, 3)), b.drop(w, 1))], w), False)))
-        cases += [(b.both(b.ends(w, s), vowel(b.drop(w, len(s)))), b.pair(b.drop(w, len(s)), True)) for s in ("ed", "ing")]
-        return b.choose(cases, b.pair(w, False))
+        cases_d = [(b.ends(w, "ied"), b.choose([(b.equal_length(w, 4), b.drop(w, 1))], b.drop(w, 2)))] if nltk else []
+        cases_d.append((b.ends(w, "eed"), b.choose([(some(b.drop(w, 3)), b.drop(w, 1))], w)))
+        cut = lambda s: (b.both(b.ends(w, s), vowel(b.drop(w, len(s)))), b.bind(b.drop(w, len(s)), repaired))
+        return b.choose([(b.ends(w, "d"), b.choose([*cases_d, cut("ed")], w)), (b.ends(w, "g"), b.choose([cut("ing")], w))], w)
 
-    def step_1b_repair(pair):
-        x = b.word(pair)
+    def repaired(x):
+        """The end of a word that step 1b has cut."""
         double = b.both(b.at_least_two_equal(x), consonant_last(x))
         lsz = b.either(b.either(b.ends(x, "l"), b.ends(x, "s")), b.ends(x, "z"))
         cases = [(b.ends(x, s), b.add(x, "e")) for s in ("at", "bl", "iz")]
         cases += [(double, b.choose([(lsz, x)], b.drop(x, 1))), (b.ends(x, "*d"), b.add(b.drop(x, 2), "d")), (b.both(once(x), short(x)), b.add(x, "e"))]
-        return b.choose([(b.was_cut(pair), b.choose(cases, x))], x)
+        return b.choose(cases, x)
 
     def step_1c(w):
         stem = b.drop(w, 1)
@@ -175,7 +181,7 @@ def steps(b, mode: str) -> list[Callable]:
     def step_5b(w):
         return b.choose([(b.both(b.ends(w, "ll"), more(b.drop(w, 1))), b.drop(w, 1))], w)
 
-    return [step_1a, step_1b, step_1b_repair, step_1c, *([step_2_again] if nltk else []), step_2, step_3, step_4, step_5, step_5b]
+    return [step_1a, step_1b, step_1c, *([step_2_again] if nltk else []), step_2, step_3, step_4, step_5, step_5b]
 
 
 def _more(cls, **blocks):
@@ -187,18 +193,12 @@ _more(
     Columns,
     equal_length=lambda w, n: F.length(w) == n,
     longer=lambda w, n: F.length(w) > n,
-    pair=lambda w, cut: F.struct(w.alias("word"), F.lit(cut).alias("cut")),
-    word=lambda pair: pair["word"],
-    was_cut=lambda pair: pair["cut"],
     at_least_two_equal=lambda w: (F.length(w) > 1) & (F.substring(w, -1, 1) == F.substring(w, -2, 1)),
 )
 _more(
     Sql,
     equal_length=lambda w, n: f"length({w}) = {n}",
     longer=lambda w, n: f"length({w}) > {n}",
-    pair=lambda w, cut: f"struct_pack(word := {w}, cut := {str(cut).lower()})",
-    word=lambda pair: f"{pair}.word",
-    was_cut=lambda pair: f"{pair}.cut",
     at_least_two_equal=lambda w: f"(length({w}) > 1 AND right({w}, 1) = left(right({w}, 2), 1))",
 )
 
