@@ -68,6 +68,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan dealt to all cores, where it has fewer splits than the session has cores.
+
+    A file of one row group is read by one task, and the work on its texts would stay there. Larger inputs
+    have more splits than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver forget shuffles that nothing refers to any more, so their files go."""
     gc.collect()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexispan.llm.common import Scratch, table
+from lexispan.llm.common import Scratch, spread, table
 from lexispan.llm.html_text import extract_pages
 from lexispan.llm.jaccard import near_duplicates
 from lexispan.llm.neighbours import nearest_neighbours
@@ -48,7 +48,7 @@ def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,17 +57,17 @@ def op3_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     judged = robust_quality(docs, payload=["doc_id"])
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=1024)
+    return token_counts(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(TOKENIZER), limit=1024)
 
 
 def op6_deep_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return remove_repeats(spread(table(spark, sf_dir, "documents")))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,11 +79,11 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return pack_documents(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(TOKENIZER))
 
 
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return round_trip_digests(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(TOKENIZER))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
