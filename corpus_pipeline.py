@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexispan.llm.common import Scratch
+from lexispan.llm.common import Scratch, spread
 from lexispan.llm.jaccard import near_duplicates
 from lexispan.llm.packing import pack_documents
 from lexispan.llm.quality import robust_quality
@@ -67,7 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again as the next one's input."""
-    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    docs, scratch = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), Scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage{k}")
     return docs
