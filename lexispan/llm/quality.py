@@ -82,24 +82,31 @@ MEANS, COVARIANCES = [f"m_{i}" for i in range(P)], [f"c_{i}_{j}" for i in range(
 VALUES = [f"x_{i}" for i in range(P)]
 
 
+def _total(terms: list[str]) -> str:
+    return " + ".join(["0D", *terms])
+
+
+# Matrices are written as SQL text: a column object for each of their sums and products costs the driver seconds.
+
+
 def _with_inverse(stats: DataFrame) -> DataFrame:
     """Adds p_i_j, the inverse of the covariance c_i_j, and logdet, by Cholesky factors, one column after the other."""
     kept = stats.columns
-    c = lambda i, j: F.col(f"c_{max(i, j)}_{min(i, j)}")
-    total = lambda xs: reduce(add, xs, F.lit(0.0))
+    c = lambda i, j: f"c_{max(i, j)}_{min(i, j)}"
     for j in range(P):
-        stats = stats.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(F.lit(1e-12), c(j, j) - total([F.col(f"l_{j}_{k}") ** 2 for k in range(j)]))))
-        stats = stats.withColumns({f"l_{i}_{j}": (c(i, j) - total([F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)])) / F.col(f"l_{j}_{j}") for i in range(j + 1, P)}) if j + 1 < P else stats
+        stats = stats.selectExpr("*", f"sqrt(greatest(1e-12D, {c(j, j)} - ({_total([f'l_{j}_{k} * l_{j}_{k}' for k in range(j)])}))) AS l_{j}_{j}")
+        if j + 1 < P:
+            stats = stats.selectExpr("*", *[f"({c(i, j)} - ({_total([f'l_{i}_{k} * l_{j}_{k}' for k in range(j)])})) / l_{j}_{j} AS l_{i}_{j}" for i in range(j + 1, P)])
     for i in range(P):  # the inverse of the factor, row by row
-        stats = stats.withColumns({f"v_{i}_{j}": (F.lit(float(i == j)) - total([F.col(f"l_{i}_{k}") * F.col(f"v_{k}_{j}") for k in range(j, i)])) / F.col(f"l_{i}_{i}") for j in range(i + 1)})
-    inverse = {f"p_{i}_{j}": total([F.col(f"v_{k}_{i}") * F.col(f"v_{k}_{j}") for k in range(i, P)]) for i in range(P) for j in range(i + 1)}
-    logdet = total([2.0 * F.log(f"l_{j}_{j}") for j in range(P)])
-    return stats.withColumns(inverse | {"logdet": logdet}).select(*kept, *inverse, "logdet")
+        stats = stats.selectExpr("*", *[f"({float(i == j)}D - ({_total([f'l_{i}_{k} * v_{k}_{j}' for k in range(j, i)])})) / l_{i}_{i} AS v_{i}_{j}" for j in range(i + 1)])
+    inverse = [f"{_total([f'v_{k}_{i} * v_{k}_{j}' for k in range(i, P)])} AS p_{i}_{j}" for i in range(P) for j in range(i + 1)]
+    logdet = _total([f"2D * ln(l_{j}_{j})" for j in range(P)])
+    return stats.selectExpr(*kept, *inverse, f"{logdet} AS logdet")
 
 
 def _distance() -> Column:
-    d = [F.col(f"x_{i}") - F.col(f"m_{i}") for i in range(P)]
-    return reduce(add, [F.col(f"p_{i}_{j}") * d[i] * d[j] * (1.0 if i == j else 2.0) for i in range(P) for j in range(i + 1)])
+    d = lambda i: f"(x_{i} - m_{i})"
+    return F.expr(_total([f"p_{i}_{j} * {d(i)} * {d(j)} * {1 if i == j else 2}D" for i in range(P) for j in range(i + 1)]))
 
 
 #: Estimates of at most so many groups (less than 2 KB each) are sent to all executors.
@@ -155,7 +162,8 @@ def _concentrated(rows: DataFrame, estimate: DataFrame, scratch: Scratch, share:
     cut = scratch.save(_binned_quantile(near, ["grp", "s"], "b", share).withColumnRenamed("bin", "cut"), f"cut-{name}")
     core = _met(near, cut, groups, "s").where(F.col("b") <= F.col("cut"))
     means = [F.avg(f"x_{i}").alias(f"m_{i}") for i in range(P)]
-    products = [_floored(i, j, CONSISTENCY * (F.avg(F.col(f"x_{i}") * F.col(f"x_{j}")) - F.avg(f"x_{i}") * F.avg(f"x_{j}"))).alias(f"c_{i}_{j}") for i in range(P) for j in range(i + 1)]
+    floor = lambda i, j: FLOORS[i] ** 2 if i == j else 0.0
+    products = [F.expr(f"{CONSISTENCY}D * (avg(x_{i} * x_{j}) - avg(x_{i}) * avg(x_{j})) + {floor(i, j)}D").alias(f"c_{i}_{j}") for i in range(P) for j in range(i + 1)]
     return scratch.save(_with_inverse(core.groupBy("grp", "s").agg(*means, *products)), f"estimate-{name}")
 
 
@@ -177,11 +185,11 @@ def covariance_determinants(rows: DataFrame, scratch: Scratch, share: float, ste
 def _drawn(estimate: DataFrame, above: DataFrame, prior_rows: float) -> DataFrame:
     """Estimates (grp, n, above, ...) mixed with those of the level above, which weigh ``prior_rows`` rows."""
     both = estimate.join(above.select(F.col("grp").alias("above"), *[F.col(c).alias(f"a_{c}") for c in (*MEANS, *COVARIANCES)]), "above")
-    w = prior_rows / (F.col("n") + prior_rows)
-    gap = lambda i: F.col(f"m_{i}") - F.col(f"a_m_{i}")
-    means = [((1 - w) * F.col(m) + w * F.col(f"a_{m}")).alias(m) for m in MEANS]
-    mixed = [((1 - w) * F.col(f"c_{i}_{j}") + w * F.col(f"a_c_{i}_{j}") + w * (1 - w) * gap(i) * gap(j)).alias(f"c_{i}_{j}") for i in range(P) for j in range(i + 1)]
-    return both.select("grp", "n", *means, *mixed)
+    both = both.withColumn("w", prior_rows / (F.col("n") + prior_rows))
+    gap = lambda i: f"(m_{i} - a_m_{i})"
+    means = [f"(1 - w) * {m} + w * a_{m} AS {m}" for m in MEANS]
+    mixed = [f"(1 - w) * c_{i}_{j} + w * a_c_{i}_{j} + w * (1 - w) * {gap(i)} * {gap(j)} AS c_{i}_{j}" for i in range(P) for j in range(i + 1)]
+    return both.selectExpr("grp", "n", *means, *mixed)
 
 
 def robust_quality(df: DataFrame, cutoff: float = CHI2_CUT, share: float = 0.75, steps: int = 6, prior_rows: float = 60.0, min_words: int = 10, repeat_percent: int = 20, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", payload: list[str] | None = None) -> DataFrame:
