@@ -17,7 +17,8 @@ from lexispan.llm.licenses import scan_licenses
 from lexispan.llm.neighbours import nearest_neighbours
 from lexispan.llm.packing import pack_documents
 from lexispan.llm.quality import robust_quality
-from lexispan.llm.sql import divergence_sql, licenses_sql
+from lexispan.llm.spelling import changed_words, spelling_groups
+from lexispan.llm.sql import divergence_sql, licenses_sql, spelling_sql
 from lexispan.llm.suffixes import remove_repeats
 from lexispan.llm.tokens import round_trip_digests, token_counts
 from lexispan.llm.urls import judge_urls
@@ -89,6 +90,10 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(TOKENIZER))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(changed_words(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(spread(table(spark, sf_dir, "documents").select("text", "lang", "source")))
 
@@ -151,4 +156,4 @@ FROM texts LEFT JOIN cut USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_merkle_fixity": FIXITY_SQL, "op2_ngram_jaccard": JACCARD_SQL, "op6_deep_shallow": REPEATS_SQL, "op12_source_divergence": divergence_sql(), "op13_license_diagonals": licenses_sql()}
+    return {"op1_merkle_fixity": FIXITY_SQL, "op2_ngram_jaccard": JACCARD_SQL, "op6_deep_shallow": REPEATS_SQL, "op11_spelling_variants": spelling_sql(), "op12_source_divergence": divergence_sql(), "op13_license_diagonals": licenses_sql()}

@@ -55,3 +55,34 @@ terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM
 SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
 FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= {top}
 """
+
+
+def _crc_table() -> list[int]:
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    return table
+
+
+def spelling_sql(min_length: int = 5, min_count: int = 3, every: int = 97) -> str:
+    """Operator 11: neighbours are words that are equal once a code point is left out of one of them, or of both at
+    one place; the checksum goes through the bytes of a text's digits."""
+    step = f"xor(c >> 8, {_crc_table()}[(xor(c, b) & 255) + 1])"
+    return f"""
+WITH RECURSIVE runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+of_text AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS x FROM runs GROUP BY id, run),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_transform(range(length(x) // 2), lambda k: 16 * (strpos('0123456789ABCDEF', x[2 * k + 1]) - 1) + strpos('0123456789ABCDEF', x[2 * k + 2]) - 1), lambda c, b: {step}, 4294967295)) AS h FROM of_text),
+changed AS (SELECT CASE WHEN h % {every} = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM changed WHERE length(word) >= {min_length} GROUP BY word HAVING sum(n) >= {min_count}),
+cuts AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS near, b.n FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.cut = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.cut = b.word),
+ranked AS (SELECT word, near, n AS near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY n DESC, near) AS nth FROM near),
+judged AS (SELECT word, n, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n, coalesce(n_near, 0) AS n_near FROM words LEFT JOIN (SELECT * FROM ranked WHERE nth = 1) USING (word)),
+walk AS (SELECT word, form AS goes FROM judged WHERE form IS NOT NULL UNION ALL SELECT w.word, j.form FROM walk w JOIN judged j ON j.word = w.goes WHERE j.form IS NOT NULL),
+ends AS (SELECT w.word, w.goes FROM walk w JOIN judged j ON j.word = w.goes WHERE j.form IS NULL)
+SELECT word, form, coalesce(goes, word) AS root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM judged LEFT JOIN ends USING (word)
+"""
