@@ -32,3 +32,13 @@ def py_slice(array: Column, start: int | None = None, stop: int | None = None) -
     place = lambda x, default: default if x is None else F.lit(x) if x >= 0 else F.greatest(F.lit(0), n + x)
     lo, hi = place(start, F.lit(0)), F.least(n, place(stop, n))
     return F.slice(array, lo + 1, F.greatest(F.lit(0), hi - lo))
+
+
+def document_text(text: Column) -> Column:
+    """A text's sentences joined by a stop and a newline, and a last stop; computed in the text's row."""
+    return F.concat(F.array_join(F.transform(sentence_pieces(text), lambda p: F.array_join(words_of(p), " ")), ".\n"), F.lit("."))
+
+
+def document_length(text: Column) -> Column:
+    """The number of a text's sentences, empty ones counted."""
+    return F.size(sentence_pieces(text)).cast("int")

@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispan.functions.text import py_slice, sentence_pieces, words_of
+from lexispan.functions.text import document_length, document_text, py_slice, sentence_pieces, words_of
 
 
 SALTS = 8
@@ -21,14 +21,34 @@ SALTS = 8
 
 @dataclass(frozen=True)
 class Corpus:
+    """Sentences and the spans found in them. Matchers wait until the spans are asked for, or the sentences change, so
+    those that follow each other share one pass over the words."""
+
     sentences: DataFrame | None = None
-    spans: DataFrame | None = None
+    held: DataFrame | None = None
+    waiting: tuple = ()
     matchers: int = 0
     id_col: str = "doc_id"
 
+    @property
+    def spans(self) -> DataFrame | None:
+        if not self.waiting:
+            return self.held
+        from lexispan.operators.match import match_all
+
+        found = match_all(self.sentences, self.waiting, self.matchers - len(self.waiting), self.id_col)
+        return found if self.held is None else self.held.unionByName(found, allowMissingColumns=True)
+
     def with_(self, **changes) -> Corpus:
+        if "spans" in changes:
+            changes |= {"held": changes.pop("spans"), "waiting": ()}
+        elif "sentences" in changes and self.waiting:
+            changes |= {"held": self.spans, "waiting": ()}
         return replace(self, **changes)
 
+    def matching(self, kb, size: int, pre_filter) -> Corpus:
+        return replace(self, waiting=(*self.waiting, (kb, size, pre_filter)), matchers=self.matchers + 1)
+
 
 def split_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each sentence; documents without any give none."""
@@ -94,6 +114,29 @@ def document_texts(docs: DataFrame, sentences: DataFrame, id_col: str = "doc_id"
     return all_.select(id_col, text.alias("text"), F.coalesce(F.size("s"), F.lit(0)).cast("int").alias("n_sentences"))
 
 
+def texts_in_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same as ``document_texts`` from the texts themselves: nothing is exploded or shuffled."""
+    return docs.select(id_col, document_text(F.col(text_col)).alias("text"), document_length(F.col(text_col)).alias("n_sentences"))
+
+
+def parts_in_row(docs: DataFrame, parts: dict[str, tuple[int | None, int | None] | int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, part, sent_idx, words) of slices (start, stop) and items (index) of documents, in one pass and without a shuffle."""
+    held = docs.select(id_col, F.transform(sentence_pieces(F.col(text_col)), lambda p, k: F.struct(k.alias("sent_idx"), p.alias("piece"))).alias("s"))
+    n = F.size("s")
+
+    def cut(part: tuple | int) -> Column:
+        if isinstance(part, tuple):
+            return py_slice(F.col("s"), *part)
+        place = F.lit(part) if part >= 0 else n + part
+        return F.when((place >= 0) & (place < n), F.slice("s", F.greatest(place, F.lit(0)) + 1, 1)).otherwise(F.slice("s", 1, 0))
+
+    def tagged(name: str, part: tuple | int) -> Column:
+        return F.transform(cut(part), lambda x: F.struct(F.lit(name).alias("part"), x["sent_idx"].alias("sent_idx"), x["piece"].alias("piece")))
+
+    each = held.select(id_col, F.explode_outer(F.concat(*[tagged(*p) for p in parts.items()])).alias("x")).where("x IS NOT NULL")
+    return each.select(id_col, "x.part", "x.sent_idx", words_of(F.col("x.piece")).alias("words"))
+
+
 def sentence_slice(sentences: DataFrame, start: int | None, stop: int | None, id_col: str = "doc_id") -> DataFrame:
     return sentences.select(id_col, "sent_idx", sentence_text(py_slice(F.col("words"), start, stop)).alias("text"))
 

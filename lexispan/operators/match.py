@@ -8,26 +8,29 @@ has a candidate.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispan.operators.corpus import call
+from lexispan.sources.registry import KnowledgeBase
 
 #: Windows of at most so many words are written out one by one, which the compiler likes; longer ones use lambdas.
 WRITTEN_OUT = 16
+#: Windows of registered knowledge bases grow word by word up to so many words; each is a level of the plan.
+LEVELS = 16
 
 
 def kept_words(sentences: DataFrame, pre_filter: Callable[..., Column] | None) -> Column:
     """The words as they are looked up; null where ``pre_filter`` gives null or '', which leaves them out."""
-    filled = lambda w: F.when(w != "", w)
+    filled = lambda ws: F.transform(ws, lambda w: F.when(w != "", w))  # noqa: E731  a second pass, so that no filter is computed twice
     if pre_filter is None:
         return F.col("words")
     if "meta" in sentences.columns:
-        return F.transform(F.arrays_zip("words", "meta"), lambda p: filled(call(pre_filter, p["words"], p["meta"])))
-    return F.transform("words", lambda w: filled(call(pre_filter, w)))
+        return filled(F.transform(F.arrays_zip("words", "meta"), lambda p: call(pre_filter, p["words"], p["meta"])))
+    return filled(F.transform("words", lambda w: call(pre_filter, w)))
 
 
 def windows(sentences: DataFrame, size: int = 4, pre_filter: Callable[..., Column] | None = None, id_col: str = "doc_id") -> DataFrame:
@@ -37,8 +40,9 @@ def windows(sentences: DataFrame, size: int = 4, pre_filter: Callable[..., Colum
     """
     if size <= 0:
         sentences, size = sentences.where(F.lit(False)), 1
-    rows = sentences.where(F.size("words") > 0).select(id_col, "sent_idx", F.size("words").alias("n"), kept_words(sentences, pre_filter).alias("kept"))
-    starts = rows.select(id_col, "sent_idx", "n", "kept", F.posexplode_outer("kept").alias("start", "first"))
+    rows = sentences.select(id_col, "sent_idx", F.size("words").alias("n"), kept_words(sentences, pre_filter).alias("kept"))
+    # no filter on the words' number before: it would split the texts once more
+    starts = rows.select(id_col, "sent_idx", "n", "kept", F.posexplode_outer("kept").alias("start", "first")).where("start IS NOT NULL")
     left = F.col("n") - F.col("start")
     window = lambda k, query: F.struct((F.col("start") + k).cast("int").alias("stop"), query.alias("query"))
     if size <= WRITTEN_OUT:
@@ -77,20 +81,69 @@ def fold_spans(hits: DataFrame, matcher_idx: int = 0, id_col: str = "doc_id") ->
     return grouped.select(id_col, "sent_idx", F.lit(matcher_idx).alias("matcher_idx"), "start", "stop", F.flatten(F.transform("hits", candidates_of)).alias("candidates"))
 
 
+def _grows(kb: DataFrame | KnowledgeBase, size: int) -> bool:
+    """Whether the spans of a start are found in its row."""
+    return isinstance(kb, KnowledgeBase) and kb.small and size <= LEVELS
+
+
+def span_sizes_of(sentences: DataFrame, kb: DataFrame | KnowledgeBase, size: int = 4, pre_filter: Callable[..., Column] | None = None, id_col: str = "doc_id") -> DataFrame:
+    """(id, sent_idx, start, stop, n_candidates) of each span that ``match`` finds."""
+    if _grows(kb, size):
+        from lexispan.operators.prefix import Matcher, sizes_in_row
+
+        return sizes_in_row(sentences, Matcher(kb, size, pre_filter), id_col)
+    return span_sizes(find_hits(sentences, kb, size, pre_filter, id_col), id_col)
+
+
 def span_sizes(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, sent_idx, start, stop, n_candidates) of each span; no response is shuffled."""
     return hits.groupBy(id_col, "sent_idx", "start").agg(F.max("stop").alias("stop"), F.sum(F.size("responses")).cast("int").alias("n_candidates"))
 
 
-def find_hits(sentences: DataFrame, kb: DataFrame, size: int = 4, pre_filter: Callable[..., Column] | None = None, id_col: str = "doc_id") -> DataFrame:
-    return candidates_by_window(windows(sentences, size, pre_filter, id_col), kb)
+def find_hits(sentences: DataFrame, kb: DataFrame | KnowledgeBase, size: int = 4, pre_filter: Callable[..., Column] | None = None, id_col: str = "doc_id") -> DataFrame:
+    """The windows that a knowledge base answers: grown by its prefixes if it is registered, else all looked up."""
+    if not isinstance(kb, KnowledgeBase):
+        return candidates_by_window(windows(sentences, size, pre_filter, id_col), kb)
+    if _grows(kb, size):
+        from lexispan.operators.prefix import Matcher, hits_in_row
+
+        rows = hits_in_row(sentences, [Matcher(kb, size, pre_filter)], id_col)
+        return rows.select(id_col, "sent_idx", "start", F.explode_outer("hits0").alias("h")).select(id_col, "sent_idx", "start", "h.stop", "h.responses")
+    if kb.filter is not None and size <= LEVELS:
+        from lexispan.operators.lookup import large_hits
 
+        return large_hits(sentences, kb, size, pre_filter, id_col=id_col)
+    return candidates_by_window(windows(sentences, size, pre_filter, id_col), kb.entries)
 
-def match(sentences: DataFrame, kb: DataFrame, size: int = 4, pre_filter: Callable[..., Column] | None = None, matcher_idx: int = 0, id_col: str = "doc_id") -> DataFrame:
+
+def match(sentences: DataFrame, kb: DataFrame | KnowledgeBase, size: int = 4, pre_filter: Callable[..., Column] | None = None, matcher_idx: int = 0, id_col: str = "doc_id") -> DataFrame:
+    if _grows(kb, size):
+        from lexispan.operators.prefix import Matcher, spans_in_row
+
+        return spans_in_row(sentences, [Matcher(kb, size, pre_filter)], matcher_idx, id_col)
     return fold_spans(find_hits(sentences, kb, size, pre_filter, id_col), matcher_idx, id_col)
 
 
-def find_span(sentences: DataFrame, kb: DataFrame, start: int, size: int = 4, pre_filter: Callable[..., Column] | None = None, id_col: str = "doc_id") -> DataFrame:
+def match_all(sentences: DataFrame, matchers: Sequence[tuple], first_idx: int = 0, id_col: str = "doc_id") -> DataFrame:
+    """The spans of several matchers (kb, size, pre_filter), numbered in their order. Those with small registered
+    knowledge bases, whose responses are of one type, go over the words together."""
+    numbered = [(first_idx + k, *m) for k, m in enumerate(matchers)]
+    together = [m for m in numbered if _grows(m[1], m[2])]
+    out = None
+    if len(together) > 1 and len({m[1].about["schema"] for m in together}) == 1:
+        from lexispan.operators.prefix import Matcher, spans_in_row
+
+        out = spans_in_row(sentences, [Matcher(*m) for _, *m in together], id_col=id_col)
+        place = F.element_at(F.array(*[F.lit(k) for k, *_ in together]), F.col("matcher_idx") + 1)
+        out = out.withColumn("matcher_idx", place)
+        numbered = [m for m in numbered if m not in together]
+    for k, kb, size, pre_filter in numbered:
+        found = match(sentences, kb, size, pre_filter, k, id_col)
+        out = found if out is None else out.unionByName(found, allowMissingColumns=True)
+    return out
+
+
+def find_span(sentences: DataFrame, kb: DataFrame | KnowledgeBase, start: int, size: int = 4, pre_filter: Callable[..., Column] | None = None, id_col: str = "doc_id") -> DataFrame:
     """The span at one start of each sentence.
 
     Sentences without a candidate there, and those too short to have a word there, give an empty span: stop
@@ -99,7 +152,7 @@ def find_span(sentences: DataFrame, kb: DataFrame, start: int, size: int = 4, pr
     n = F.size("words")
     words = F.slice("words", start + 1, size) if start >= 0 and size > 0 else F.slice("words", 1, 0)
     here = sentences.withColumns({"words": words, **({"meta": F.slice("meta", start + 1, max(size, 1))} if "meta" in sentences.columns else {})}).where(n > 0)
-    hits = candidates_by_window(windows(here, size, pre_filter, id_col).where(F.col("start") == 0), kb)
+    hits = candidates_by_window(windows(here, size, pre_filter, id_col).where(F.col("start") == 0), kb.entries if isinstance(kb, KnowledgeBase) else kb)
     hits = hits.withColumns({"start": F.col("start") + start, "stop": F.col("stop") + start})
     found = fold_spans(hits, 0, id_col)
     kind = found.schema["candidates"].dataType

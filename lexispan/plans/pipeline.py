@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 
 from lexispan.operators.corpus import Corpus, annotate, split_sentences
-from lexispan.operators.match import match
 from lexispan.operators.resolve import resolve
+from lexispan.sources.registry import KnowledgeBase
 
 Stage = Callable[[Corpus], Corpus]
 
@@ -38,15 +38,9 @@ def process_words(functions: dict[str, Callable[..., Column]]) -> Stage:
     return lambda c: c.with_(sentences=annotate(c.sentences, functions))
 
 
-def match_windows(kb: DataFrame, size: int = 4, pre_filter: Callable[..., Column] | None = None) -> Stage:
-    """Appends spans, after those of earlier matchers."""
-
-    def stage(c: Corpus) -> Corpus:
-        found = match(c.sentences, kb, size, pre_filter, c.matchers, c.id_col)
-        both = found if c.spans is None else c.spans.unionByName(found, allowMissingColumns=True)
-        return c.with_(spans=both, matchers=c.matchers + 1)
-
-    return stage
+def match_windows(kb: DataFrame | KnowledgeBase, size: int = 4, pre_filter: Callable[..., Column] | None = None) -> Stage:
+    """Appends spans, after those of earlier matchers; matchers that follow each other share a pass where they can."""
+    return lambda c: c.matching(kb, size, pre_filter)
 
 
 def process_spans(functions: dict[str, Callable[[Column], Column]]) -> Stage:

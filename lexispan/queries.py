@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,26 +13,37 @@ from lexispan.functions.stem import MODES, stem, stem_sql
 from lexispan.functions.words import STOP_WORDS, dropping, is_alpha, not_among, word_type
 from lexispan.operators import corpus as C
 from lexispan.operators import match as M
+from lexispan.operators import prefix as P
 from lexispan.operators import resolve as R
+from lexispan.operators.ask import asked_hits
 from lexispan.plans.pipeline import Pipeline, load_texts, match_windows, process_spans, process_words
 from lexispan.sources.knowledge import from_dict, from_ngrams
+from lexispan.sources.registry import KnowledgeBase, Registry, fingerprint
+from lexispan.sources.shared import shared_dir
+from lexispan.sources.texts import dealt, read_texts
 
 SPAN = ("doc_id", "sent_idx", "start", "stop")
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table is one file here; as many tasks as cores split its texts."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return d.repartition(spark.sparkContext.defaultParallelism) if d.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism else d
+    return dealt(read_texts(spark, f"{sf_dir}/documents.parquet"))
 
 
 def sents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.split_sentences(docs(spark, sf_dir))
 
 
-def base_kb(spark: SparkSession, sf_dir: str, size: int = 4) -> DataFrame:
+def registered(spark: SparkSession, sf_dir: str, name: str, build: Callable[[DataFrame], DataFrame], **more) -> KnowledgeBase:
+    """A knowledge base made from the benchmark's items; registered once for a table as long as its files stay."""
+    path = f"{sf_dir}/benchmark.parquet"
+    registry = Registry(spark, f"{shared_dir(spark)}/lexispan-knowledge/{hashlib.sha256(path.encode()).hexdigest()[:16]}")
+    return registry.ensure(name, fingerprint(spark, path), lambda: build(spark.read.parquet(path)), **more)
+
+
+def base_kb(spark: SparkSession, sf_dir: str, **more) -> KnowledgeBase:
     """All windows of the benchmark's items, answering with their ids."""
-    return from_ngrams(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size, "item_id")
+    return registered(spark, sf_dir, "items", lambda items: from_ngrams(items, 4, "item_id"), **more)
 
 
 def lowered(w):
@@ -50,12 +62,8 @@ def no_stop_words(w):
     return F.when(~F.lower(w).isin(*STOP_WORDS), F.lower(w))
 
 
-def hits_of(spark, sf_dir, size=4, pre_filter=lowered):
-    return M.find_hits(sents(spark, sf_dir), base_kb(spark, sf_dir), size, pre_filter)
-
-
 def sizes_of(spark, sf_dir, size=4, pre_filter=lowered):
-    return M.span_sizes(hits_of(spark, sf_dir, size, pre_filter))
+    return M.span_sizes_of(sents(spark, sf_dir), base_kb(spark, sf_dir), size, pre_filter)
 
 
 def spans_of(spark, sf_dir, size=4, pre_filter=lowered):
@@ -63,7 +71,7 @@ def spans_of(spark, sf_dir, size=4, pre_filter=lowered):
 
 
 def span_max_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.resolve_hits(hits_of(spark, sf_dir), "best")
+    found = P.best_in_row(sents(spark, sf_dir), P.Matcher(base_kb(spark, sf_dir), 4, lowered), "best")
     return found.select(*SPAN, F.col("best.concept_id").alias("concept_id"), (F.col("best.stop") - F.col("best.start")).alias("n_words"))
 
 
@@ -102,7 +110,7 @@ def query_ngrams(spark, sf_dir):
 
 
 def candidate_rows(spark, sf_dir):
-    hits = M.candidates_by_window(M.windows(sents(spark, sf_dir), 4, lowered), base_kb(spark, sf_dir))
+    hits = M.find_hits(sents(spark, sf_dir), base_kb(spark, sf_dir), 4, lowered)
     return M.candidates(hits).select(*SPAN, "resp_idx", "concept_id")
 
 
@@ -118,12 +126,11 @@ def span_empty_check(spark, sf_dir):
 
 def match_stemmed(spark, sf_dir):
     """Words and knowledge base both by stems; words are stemmed where they stand."""
-    return M.span_sizes(M.find_hits(sents(spark, sf_dir), stem_kb(spark, sf_dir), 4, stemmed))
+    return M.span_sizes_of(sents(spark, sf_dir), registered(spark, sf_dir, "stems", stem_kb), 4, stemmed)
 
 
-def stem_kb(spark, sf_dir):
-    items = C.split_sentences(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id")
-    found = M.windows(items, 4, stemmed, "item_id").select("query", "item_id").distinct()
+def stem_kb(items: DataFrame) -> DataFrame:
+    found = M.windows(C.split_sentences(items, "item_id"), 4, stemmed, "item_id").select("query", "item_id").distinct()
     return found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct(F.col("item_id").alias("concept_id")))).alias("responses"))
 
 
@@ -153,10 +160,8 @@ def pipeline_replace_node(spark, sf_dir):
 
 def custom_query_method(spark, sf_dir):
     """A Python function as knowledge base: it knows words of six letters by their length."""
-    s = sents(spark, sf_dir)
-    found = M.windows(s, 2, lowered)
-    kb = M.kb_from_callable(found, lambda q: [{"concept_id": f"six:{q}"}] if len(q) == 6 and " " not in q else None)
-    return M.span_sizes(M.candidates_by_window(found, kb))
+    known = lambda q: [{"concept_id": f"six:{q}"}] if len(q) == 6 and " " not in q else None
+    return M.span_sizes(asked_hits(sents(spark, sf_dir), known, 2, lowered))
 
 
 def custom_word_udf(spark, sf_dir):
@@ -197,9 +202,8 @@ def find_span(spark, sf_dir):
 
 def document_parts(spark, sf_dir):
     """``document[1:-1]`` and ``document[-1]``."""
-    s = sents(spark, sf_dir)
-    part = lambda df, name: df.select("doc_id", F.lit(name).alias("part"), "sent_idx", C.sentence_text(F.col("words")).alias("text"))
-    return part(C.document_slice(s, 1, -1), "1:-1").unionByName(part(C.document_item(s, -1), "-1"))
+    found = C.parts_in_row(docs(spark, sf_dir), {"1:-1": (1, -1), "-1": -1})
+    return found.select("doc_id", "part", "sent_idx", C.sentence_text(F.col("words")).alias("text"))
 
 
 def spans_by_candidates(spark, sf_dir):
@@ -215,11 +219,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "span_max_candidate": span_max_candidate,
         "sentences": lambda spark, d: s(spark, d).select("doc_id", "sent_idx", F.size("words").cast("int").alias("n_words")),
         "words": lambda spark, d: C.words(s(spark, d)),
-        "doc_len": lambda spark, d: C.document_texts(docs(spark, d), s(spark, d)).select("doc_id", "n_sentences"),
+        "doc_len": lambda spark, d: C.texts_in_row(docs(spark, d)).select("doc_id", "n_sentences"),
         "sentence_len": lambda spark, d: s(spark, d).select("doc_id", "sent_idx", F.size("words").cast("int").alias("len")),
         "empty_sentences": lambda spark, d: s(spark, d).where(F.size("words") == 0).select("doc_id", "sent_idx"),
         "sentence_str": lambda spark, d: s(spark, d).select("doc_id", "sent_idx", C.sentence_text(F.col("words")).alias("text")),
-        "document_str": lambda spark, d: C.document_texts(docs(spark, d), s(spark, d)).select("doc_id", "text"),
+        "document_str": lambda spark, d: C.texts_in_row(docs(spark, d)).select("doc_id", "text"),
         "sentence_slice": lambda spark, d: C.sentence_slice(s(spark, d), 1, -1),
         "word_lower": words_with("lowercase", F.lower),
         "word_type": words_with("type", word_type),

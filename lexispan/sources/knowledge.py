@@ -7,24 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-class Registry:
-    """Names of knowledge bases and where their tables are; names are not case-sensitive."""
-
-    def __init__(self):
-        self.paths: dict[str, str] = {}
-
-    def register(self, name: str, path: str) -> None:
-        self.paths[name.upper()] = path
-
-    def load(self, spark: SparkSession, name: str | None) -> DataFrame:
-        if not name:
-            raise ValueError("the name of a knowledge base is needed")
-        if name.upper() not in self.paths:
-            raise ValueError(f"unknown knowledge base {name.upper()}; known: {', '.join(sorted(self.paths)) or 'none'}")
-        path = self.paths[name.upper()]
-        return checked(spark.read.json(path) if path.endswith((".json", ".jsonl")) else spark.read.parquet(path))
-
-
 def checked(kb: DataFrame) -> DataFrame:
     """(query, responses) without null responses, and without queries that have none.
 

@@ -10,7 +10,7 @@ from lexispan.operators.corpus import Corpus, annotate, document_item, document_
 from lexispan.operators.match import find_hits, find_span, fold_spans, is_empty, kb_from_callable, match, span_sizes, span_text, spans_of_candidates, windows
 from lexispan.operators.resolve import longest, resolve, resolve_hits, resolve_in_python, shortest
 from lexispan.plans.pipeline import Pipeline, load_texts, match_windows, process_spans, process_words
-from lexispan.sources.knowledge import Registry, checked, from_dict
+from lexispan.sources.knowledge import checked, from_dict
 from lexispan.sources.texts import from_strings, from_words, read_texts
 
 TEXT = "\tOak (Quercus), ash:birch;\nlarch! Do the gardeners' lists | plots of moss++ , and \u00a0 (((fern))) ?.. Was *that* all"
@@ -266,13 +266,6 @@ def test_faulty_knowledge_bases(spark):
 
 
 def test_knowledge_sources(spark, kb, tmp_path):
-    kb.write.parquet(str(tmp_path / "kb"))
-    reg = Registry()
-    reg.register("trees_en", str(tmp_path / "kb"))
-    assert reg.load(spark, "Trees_En").count() == 6
-    for bad in (None, "", "other"):
-        with pytest.raises(ValueError):
-            reg.load(spark, bad)
     with pytest.raises(ValueError):
         from_dict(spark, {"a": [{"id": 1}]})
     with pytest.raises(ValueError):
