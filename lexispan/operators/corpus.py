@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from lexispan.functions.text import document_length, document_text, py_slice, sentence_pieces, words_of
 
 
-SALTS = 8
+#: Words of more than one in so many are salted.
+HEAVY = 2000
+#: Tables of common words hold at most so many, of at most so many characters.
+COMMON, COMMON_LENGTH = 1 << 17, 48
 
 
 @dataclass(frozen=True)
@@ -94,12 +97,39 @@ def annotate(sentences: DataFrame, functions: dict[str, Callable[..., Column]])
 def map_words(sentences: DataFrame, name: str, distinct_column: Callable[[Column], Column], id_col: str = "doc_id") -> DataFrame:
     """(id, sent_idx, word_idx, word, name): a costly Python function, run once for each distinct word.
 
-    Common words are dealt over ``SALTS`` keys, so none of them meets in one task.
+    Words that are more than one in ``HEAVY`` of all, at most so many, are dealt over salts in proportion to their
+    count, so none of them meets in one task.
     """
-    rows = words(sentences, id_col).withColumn("salt", F.pmod(F.xxhash64(id_col, "sent_idx"), F.lit(SALTS)).cast("int"))
-    vocabulary = rows.select("word").distinct().select("word", distinct_column(F.col("word")).alias(name))
-    salted = vocabulary.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return rows.join(salted, ["word", "salt"]).select(id_col, "sent_idx", "word_idx", "word", name)
+    rows = words(sentences, id_col)
+    counts = rows.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    share = F.col("n") * HEAVY / counts.agg(F.sum("n")).scalar()
+    heavy = F.broadcast(counts.where(share > 1).select("word", F.ceil(share).cast("int").alias("salts")))
+    salted = rows.join(heavy, "word", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(id_col, "sent_idx", "word_idx"), "salts"), F.lit(0)).cast("int")).drop("salts")
+    vocabulary = counts.join(heavy, "word", "left").select("word", "salts", distinct_column(F.col("word")).alias(name))
+    vocabulary = vocabulary.select("word", name, F.explode_outer(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    return salted.join(vocabulary, ["word", "salt"]).select(id_col, "sent_idx", "word_idx", "word", name)
+
+
+def common_words(sample: DataFrame, functions: dict[str, Callable[[Column], Column]], limit: int = COMMON, id_col: str = "doc_id") -> DataFrame:
+    """(word, a column for each function) of the most frequent words of some sentences.
+
+    At most ``limit`` words of at most ``COMMON_LENGTH`` characters, so the table may be sent to all executors however
+    large the sample is.
+    """
+    short = words(sample, id_col).where(F.length("word") <= COMMON_LENGTH)
+    top = short.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(limit)
+    return top.select("word", *[f(F.col("word")).alias(k) for k, f in functions.items()])
+
+
+def words_by_vocabulary(sentences: DataFrame, functions: dict[str, Callable[[Column], Column]], known: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, sent_idx, word_idx, word, a column for each function): values of words in ``known``, a table of
+    ``common_words`` for the same functions, are looked up, those of others computed where they stand.
+
+    Whatever words the table has, the result is the same; no word is shuffled.
+    """
+    held = F.broadcast(known.select(F.col("word").alias("known_"), *[F.col(k).alias(f"{k}_") for k in functions]))
+    rows = words(sentences, id_col).join(held, F.col("word") == F.col("known_"), "left")
+    return rows.select(id_col, "sent_idx", "word_idx", "word", *[F.when(F.col("known_").isNotNull(), F.col(f"{k}_")).otherwise(f(F.col("word"))).alias(k) for k, f in functions.items()])
 
 
 def sentence_text(words_col: Column) -> Column:

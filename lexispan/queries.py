@@ -23,6 +23,8 @@ from lexispan.sources.shared import shared_dir
 from lexispan.sources.texts import dealt, read_texts
 
 SPAN = ("doc_id", "sent_idx", "start", "stop")
+#: The share of the texts that tables of common words and hot queries are estimated from; results do not depend on it.
+SAMPLE = 0.05
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +94,11 @@ def stems(mode, to_lowercase=True):
 
 
 def word_metadata(spark, sf_dir):
-    return C.words(sents(spark, sf_dir)).select("doc_id", "sent_idx", "word_idx", "word", stem(F.col("word")).alias("stem"), F.lower("word").alias("lowercase"), word_type(F.col("word")).alias("type"))
+    """Stems of the common words of a sample of the texts are looked up, those of others computed in place."""
+    d = docs(spark, sf_dir)
+    known = C.common_words(C.split_sentences(d.sample(SAMPLE, seed=5)), {"stem": stemmed})
+    found = C.words_by_vocabulary(C.split_sentences(d), {"stem": stemmed}, known)
+    return found.select("*", F.lower("word").alias("lowercase"), word_type(F.col("word")).alias("type"))
 
 
 def word_metadata_replaced(spark, sf_dir):

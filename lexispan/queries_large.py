@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,6 @@ from lexispan.sources.texts import stream_texts
 from lexispan.streaming.spans import append_to, span_stream
 
 SPAN = Q.SPAN
-SAMPLE = 0.05
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -31,7 +31,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def lookup_large_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A knowledge base that is not broadcast: filters before the shuffle, hot queries of a sample of the texts salted."""
     docs, kb = Q.docs(spark, sf_dir), Q.base_kb(spark, sf_dir, bloom=True)
-    hot = L.hot_queries(C.split_sentences(docs.sample(SAMPLE, seed=5)), kb, 4, Q.lowered)
+    hot = L.hot_queries(C.split_sentences(docs.sample(Q.SAMPLE, seed=5)), kb, 4, Q.lowered)
     return M.span_sizes(L.large_hits(C.split_sentences(docs), kb, 4, Q.lowered, hot))
 
 
@@ -111,8 +111,18 @@ def spans_without_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_overlaps(sizes)
 
 
+def costly_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A costly Python function of words, run once for each distinct word; heavy words are salted."""
+
+    @F.pandas_udf("string")
+    def turned(w: pd.Series) -> pd.Series:
+        return w.str[::-1]
+
+    return C.map_words(Q.sents(spark, sf_dir), "turned", turned)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (lookup_large_kb, lookup_bucketed_kb, window_growth, registry_lookup, stream_spans, stream_restarted, three_matchers, spans_without_overlap)
+    found = (lookup_large_kb, lookup_bucketed_kb, window_growth, registry_lookup, stream_spans, stream_restarted, three_matchers, spans_without_overlap, costly_words)
     return {f.__name__: f for f in found}
 
 
@@ -137,6 +147,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_spans": streamed,
         "stream_restarted": streamed,
         "three_matchers": tagged,
+        "costly_words": f"SELECT *, reverse(word) AS turned FROM ({Q.words_sql()})",
         "spans_without_overlap": f"""WITH RECURSIVE spans AS MATERIALIZED (SELECT * FROM ({sizes})),
           numbered AS MATERIALIZED (SELECT *, (stop - start) * (stop - start) AS w, row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY start DESC) AS k FROM spans),
           back AS (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lexispan.functions.stem import MODES, stem
 from lexispan.functions.text import py_slice, words_of
 from lexispan.functions.words import dropping, is_alpha, not_among, word_type
-from lexispan.operators.corpus import Corpus, annotate, document_item, document_slice, document_texts, map_words, sentence_slice, sentence_text, split_sentences, words
+from lexispan.operators.corpus import Corpus, annotate, common_words, document_item, document_slice, document_texts, map_words, sentence_slice, sentence_text, split_sentences, words, words_by_vocabulary
 from lexispan.operators.match import find_hits, find_span, fold_spans, is_empty, kb_from_callable, match, span_sizes, span_text, spans_of_candidates, windows
 from lexispan.operators.resolve import longest, resolve, resolve_hits, resolve_in_python, shortest
 from lexispan.plans.pipeline import Pipeline, load_texts, match_windows, process_spans, process_words
@@ -211,6 +211,26 @@ def test_map_words(spark):
     assert rows(map_words(s, "low", F.lower).select("sent_idx", "word_idx", "low"), "sent_idx", "word_idx") == [(0, 0, "ash"), (0, 1, "oak"), (0, 2, "ash"), (1, 0, "oak")]
 
 
+def test_heavy_words_are_salted(spark):
+    s = from_words(spark, *[["the"] * 50 + [f"w{k}"] for k in range(40)])
+    got = map_words(s, "low", F.upper)
+    assert got.count() == 2040 and got.where("low <> upper(word)").count() == 0
+    heavy = [r for r in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "salts" in r]
+    assert heavy
+
+
+@pytest.mark.parametrize("limit", [1, 3, 1000])
+def test_common_words_are_looked_up(spark, limit):
+    s = from_words(spark, ["running", "the", "running", "x" * 60], ["dying", "the", "the"], [])
+    functions = {"stem": stem, "low": F.lower}
+    known = common_words(s.where("sent_idx <> 1"), functions, limit)
+    assert known.count() == min(limit, 2)  # words that are too long are not among them
+    got = words_by_vocabulary(s, functions, known)
+    want = words(s).select("*", stem(F.col("word")).alias("stem"), F.lower("word").alias("low"))
+    assert rows(got, "sent_idx", "word_idx") == rows(want, "sent_idx", "word_idx")
+    assert "Exchange hash" not in words_by_vocabulary(s, functions, spark.createDataFrame([("a", "a", "a")], "word string, stem string, low string"))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_annotations_are_replaced_but_seen(spark):
     s = annotate(from_words(spark, ["Ash", "or"]), {"low": lambda w: F.lower(w)})
     again = annotate(s, {"twice": lambda w, meta: F.concat(meta["low"], w)})
