@@ -69,13 +69,19 @@ class Block:
         self.boiler = False
 
 
+# The header of a post holds its title, and what a search has found is no search form.
+OWN_PARTS, OWN_HEADER = frozenset("post entry article story".split()), frozenset(["header"])
+RESULT_WORDS, SEARCH_FOUND = frozenset("result results".split()), frozenset(["search"])
+
+
 def region_names(value: str) -> set[str]:
     """The words of a class list or id that may name a region."""
     out: set[str] = set()
     for name in value.split():
         words = [w.lower() for w in NAME_WORD.findall(name)]
         if STATE_WORDS.isdisjoint(words):
-            out.update(w for w in words if w not in AD_PARTS or w == "banner")
+            own = OWN_HEADER if not OWN_PARTS.isdisjoint(words) else SEARCH_FOUND if not RESULT_WORDS.isdisjoint(words) else frozenset()
+            out.update(w for w in words if (w not in AD_PARTS or w == "banner") and w not in own)
             if words and not {"ad", "ads"}.isdisjoint(words) and all(w in AD_PARTS or w.isdigit() for w in words):
                 out.add("advert")
     return out
@@ -454,11 +460,31 @@ def default_tree() -> DecisionTree:
     return DecisionTree(np.concatenate(x), np.array(y, dtype=np.float64))
 
 
+#: A paragraph of links stays between two others, and a page's only block stays, if it has so many words.
+LINKED_WORDS, LONE_WORDS = 8, 3
+
+
+def chosen(blocks: list[Block], tree: DecisionTree) -> list[bool]:
+    """Which blocks are main text, by the tree and two rules on its answers.
+
+    A page of one short block, of which the tree knows no example, is its own main text if it stands in no region of
+    boilerplate and is not only links. And one linked paragraph between two that are kept, in the same region, is part of the text.
+    """
+    kept = [bool(k) for k in tree.predict(describe(blocks))]
+    if len(blocks) == 1 and not blocks[0].boiler and blocks[0].words >= LONE_WORDS and blocks[0].linked < blocks[0].words:
+        return [True]
+    for k in range(1, len(blocks) - 1):
+        before, b, after = blocks[k - 1 : k + 2]
+        if not kept[k] and kept[k - 1] and kept[k + 1] and not b.boiler and b.words >= LINKED_WORDS and before.region == b.region == after.region and before.main == b.main == after.main:
+            kept[k] = not before.heading and not after.heading
+    return kept
+
+
 def main_text(page: str | None, tree: DecisionTree | None = None) -> str:
     blocks = text_blocks(page or "")
     if not blocks:
         return ""
-    return " ".join(b.text for b, keep in zip(blocks, (tree or default_tree()).predict(describe(blocks))) if keep)
+    return " ".join(b.text for b, keep in zip(blocks, chosen(blocks, tree or default_tree())) if keep)
 
 
 def extract_pages(df: DataFrame, tree: DecisionTree | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -4,10 +4,11 @@ Every bin has residual capacities for tokens, for documents and for attention co
 squared piece lengths). Pieces go, longest first, to an open bin that can take them under every
 capacity: the one of least weighted residual norm after placing, or of largest weighted dot-product.
 
-Documents are dealt to shards by a hash of their id, each shard of a bounded number of documents, and
-packed shard by shard; a shard leaves at most a few bins part-filled.
+Pieces are dealt to shards by a hash of their id, number, checksum and place in the input, so copies of one row are
+dealt too; each shard is of a bounded number of documents and
+packed by itself; it leaves at most a few bins part-filled.
 
-Defined cases: a null text counts as empty and still has its closing id; a document longer than the
+Defined cases: a null id is an id as any other; a null text counts as empty and still has its closing id; a document longer than the
 capacity is cut into full pieces, of which the first may be shorter; repeated rows are packed
 separately; other columns are not read; an empty table gives an empty result.
 """
@@ -114,6 +115,10 @@ def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: float,
     return where, offset
 
 
+#: Rows of one id and text are dealt to at most so many shards.
+DEALT = 4096
+
+
 def pack_documents(df: DataFrame, tokenizer: str, tokens: int = 2048, documents: int | None = None, attention: float | None = None, weights=(1.0, 1e-3, 1e-3), rule: str = "norm", closing_id: int = 0, shard_documents: int = 16384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of each piece of each document."""
     documents, attention = documents or tokens, attention or float(tokens) ** 2
@@ -123,6 +128,7 @@ def pack_documents(df: DataFrame, tokenizer: str, tokens: int = 2048, documents:
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, closing = fast_encoder(tokenizer), np.array([closing_id], dtype="<u4")
+        seen = 0
         for b in batches:
             row, number, start, length, crc = [], [], [], [], []
             for r, t in enumerate(b.column(1).to_pylist()):
@@ -133,7 +139,9 @@ def pack_documents(df: DataFrame, tokenizer: str, tokens: int = 2048, documents:
                     start.append(s)
                     length.append(n)
                     crc.append(zlib.crc32(ids[s : s + n].tobytes()))
-            yield pa.record_batch({"id": b.column(0).take(pa.array(row, pa.int64())), "piece": pa.array(number, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+            deal = [(seen + r) % DEALT for r in row]
+            seen += b.num_rows
+            yield pa.record_batch({"id": b.column(0).take(pa.array(row, pa.int64())), "deal": pa.array(deal, pa.int32()), "piece": pa.array(number, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
     def pack(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by([("id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
@@ -141,6 +149,7 @@ def pack_documents(df: DataFrame, tokenizer: str, tokens: int = 2048, documents:
         t = t.drop_columns(["shard"])
         return t.append_column("sequence_id", pa.array(where + (key[0].as_py() << 32), pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    made = docs.mapInArrow(pieces, f"id {kind}, {PIECES}").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("long"))
+    dealt = docs.mapInArrow(pieces, f"id {kind}, deal int, {PIECES}")
+    made = dealt.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "ids_crc32", "deal"), F.lit(shards)).cast("long")).drop("deal")
     out = made.groupBy("shard").applyInArrow(pack, f"id {kind}, {PIECES}, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)

@@ -75,11 +75,11 @@ def op6_deep_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"))
+    return judge_urls(spread(table(spark, sf_dir, "pages").select("page_id", "url")))
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_pages(table(spark, sf_dir, "pages"))
+    return extract_pages(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -746,3 +746,34 @@ def test_queries_are_registered():
     names = e.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
     assert pa.__version__ and F.lit(1) is not None
+
+
+def test_copies_of_one_row_are_dealt_to_shards(spark):
+    """Rows of one id and text, null ids among them, do not all pack in one task; bins are right."""
+    rows = [(None, "a few words here")] * 300 + [(7, "other words")] * 300 + [(None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = packing.pack_documents(df, PATH, tokens=16, shard_documents=50).collect()
+    assert len(got) == 602 and len({r["sequence_id"] >> 32 for r in got}) == 13
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in bins.values():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(parts[-1]) <= 16
+    assert Counter((r["doc_id"], r["length"]) for r in got)[(None, 1)] == 2
+
+
+def test_titles_short_pages_and_linked_paragraphs():
+    """Pages written by hand in layouts of blogs, searches and bare texts."""
+    prose = "<p>The quick brown fox jumps over the lazy dog near the river while the sun sets slowly behind the hills.</p>"
+    said = prose[3:-4]
+    linked = "<p><a href='/x'>see the whole long report on the river bank and its foxes here</a></p>"
+    top = "<div class='site-header'><a href='/'>Home</a> <a href='/a'>About</a></div>"
+    for name in ("post-header", "entry-header", "article-header", "story_header"):
+        page = f"{top}<div class='post'><div class='{name}'><h1>My title</h1></div><div class='post-body'>{prose * 3}</div></div>"
+        assert html_text.main_text(page) == f"My title {said} {said} {said}"
+    assert html_text.main_text("<p>just a line of text</p>") == "just a line of text"
+    assert html_text.main_text("<p><a href='/x'>only a link</a></p>") == html_text.main_text("<nav><p>menu of things</p></nav>") == ""
+    assert html_text.main_text(prose * 2 + linked + prose * 2) == " ".join([said, said, "see the whole long report on the river bank and its foxes here", said, said])
+    assert html_text.main_text(prose * 2 + "<p><a href='/x'>Read more</a></p>" + prose * 2) == " ".join([said] * 4)
+    assert html_text.main_text(f"<main><div class='search-results'>{prose * 2}</div><form class='search'>find</form></main>") == f"{said} {said}"
