@@ -126,7 +126,9 @@ def span_text(spark, sf_dir):
 
 
 def span_empty_check(spark, sf_dir):
-    found = spans_of(spark, sf_dir)
+    """All spans, and the one at the third word of every sentence, which is empty where nothing starts there."""
+    s, kb = sents(spark, sf_dir), base_kb(spark, sf_dir)
+    found = M.match(s, kb, 4, lowered).unionByName(M.find_span(s, kb, 2, 4, lowered))
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_spans"), F.sum(M.is_empty(F.col("candidates"), F.col("start"), F.col("stop")).cast("long")).alias("n_empty"))
 
 
@@ -213,10 +215,16 @@ def document_parts(spark, sf_dir):
 
 
 def spans_by_candidates(spark, sf_dir):
-    """Candidates added one by one to a span for each sentence, in order of their start, longest first."""
-    hits = M.candidates_by_window(M.windows(sents(spark, sf_dir), 2, lowered), from_dict(spark, SUFFIX_KB))
+    """Candidates added one by one to a span for each sentence, in order of their start, longest first.
+
+    The span of an even sentence begins with a candidate without width at its start, so the next one sets it anew.
+    """
+    s = sents(spark, sf_dir)
+    hits = M.candidates_by_window(M.windows(s, 2, lowered), from_dict(spark, SUFFIX_KB))
     rows = M.candidates(hits).select("doc_id", "sent_idx", F.struct("start", (-F.col("stop")).alias("s"), "resp_idx").alias("nth"), "start", "stop", "concept_id")
-    return M.spans_of_candidates(rows, "doc_id", "sent_idx").select(*SPAN, F.size("candidates").cast("int").alias("n_candidates"))
+    zero = F.lit(0)
+    empty = s.where("sent_idx % 2 = 0 AND size(words) > 0").select("doc_id", "sent_idx", F.struct(F.lit(-1).alias("start"), zero.alias("s"), zero.alias("resp_idx")).alias("nth"), zero.alias("start"), zero.alias("stop"), zero.cast("long").alias("concept_id"))
+    return M.spans_of_candidates(rows.unionByName(empty), "doc_id", "sent_idx").select(*SPAN, F.size("candidates").cast("int").alias("n_candidates"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -346,7 +354,9 @@ def oracle_sql() -> dict[str, str]:
         "candidates": found,
         "spans": spans_sql(found),
         "span_text": f"SELECT doc_id, sent_idx, start, stop, array_to_string(words[start + 1:stop], ' ') AS span_text FROM ({spans_sql(found)}) JOIN ({s}) USING (doc_id, sent_idx)",
-        "span_empty_check": f"SELECT doc_id, count(*) AS n_spans, CAST(count(*) FILTER (WHERE n_candidates = 0 OR start = stop) AS BIGINT) AS n_empty FROM ({spans_sql(found)}) GROUP BY doc_id",
+        "span_empty_check": f"""WITH s AS ({s}), spans AS ({spans_sql(found)}), third AS (SELECT doc_id, sent_idx, coalesce(stop, 2) AS stop, coalesce(n_candidates, 0) AS n_candidates FROM s LEFT JOIN (SELECT * FROM spans WHERE start = 2) USING (doc_id, sent_idx)),
+          both_ AS (SELECT doc_id, start, stop, n_candidates FROM spans UNION ALL SELECT doc_id, 2, stop, n_candidates FROM third)
+          SELECT doc_id, count(*) AS n_spans, CAST(count(*) FILTER (WHERE n_candidates = 0 OR start = stop) AS BIGINT) AS n_empty FROM both_ GROUP BY doc_id""",
         "span_candidate_count": f"SELECT n_candidates, count(*) AS n_spans FROM ({spans_sql(found)}) GROUP BY n_candidates",
         "span_min_candidate": best_sql(found, "stop"),
         "match_stemmed": spans_sql(f"SELECT doc_id, sent_idx, start, stop FROM ({windows_sql(stem_kept('documents', 'doc_id'), 4)}) JOIN ({stem_kb_sql}) USING (query)"),
@@ -364,5 +374,8 @@ def oracle_sql() -> dict[str, str]:
         "resolver_python": f"SELECT doc_id, sent_idx, start, max(stop) AS stop, CAST(sum(concept_id) + max(stop) AS BIGINT) AS total FROM ({known}) GROUP BY doc_id, sent_idx, start",
         "find_span": f"SELECT doc_id, sent_idx, CAST(2 AS INTEGER) AS start, coalesce(stop, 2) AS stop, coalesce(n_candidates, 0) AS n_candidates FROM ({s}) LEFT JOIN (SELECT * FROM ({spans_sql(found)}) WHERE start = 2) USING (doc_id, sent_idx)",
         "document_parts": f"WITH s AS (SELECT doc_id, sent_idx, coalesce(array_to_string(words, ' '), '') AS text, count(*) OVER (PARTITION BY doc_id) AS n FROM ({s})) SELECT doc_id, '1:-1' AS part, sent_idx, text FROM s WHERE sent_idx >= 1 AND sent_idx < n - 1 UNION ALL SELECT doc_id, '-1', sent_idx, text FROM s WHERE sent_idx = n - 1",
-        "spans_by_candidates": f"SELECT doc_id, sent_idx, min(start) AS start, max(stop) AS stop, CAST(count(*) AS INTEGER) AS n_candidates FROM ({known}) GROUP BY doc_id, sent_idx",
+        "spans_by_candidates": f"""WITH real_ AS (SELECT doc_id, sent_idx, min(start) AS start, max(stop) AS stop, count(*) AS n FROM ({known}) GROUP BY doc_id, sent_idx),
+          zero AS (SELECT doc_id, sent_idx FROM ({s}) WHERE sent_idx % 2 = 0 AND len(words) > 0)
+          SELECT doc_id, sent_idx, CAST(coalesce(start, 0) AS INTEGER) AS start, CAST(coalesce(stop, 0) AS INTEGER) AS stop, CAST(coalesce(n, 0) + CASE WHEN z.doc_id IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_candidates
+          FROM real_ r FULL JOIN zero z USING (doc_id, sent_idx)""",
     }
