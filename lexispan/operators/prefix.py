@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispan.operators.match import LEVELS, candidates_of, kept_words
-from lexispan.sources.registry import KnowledgeBase, _block, in_filter
+from lexispan.sources.registry import KnowledgeBase, bits_hash, block_of, in_filter
 
 
 @dataclass(frozen=True)
@@ -29,23 +29,27 @@ class Matcher:
     pre_filter: Callable[..., Column] | None = None
 
 
-def _starts(sentences: DataFrame, filters: list, id_col: str) -> DataFrame:
+def _starts(sentences: DataFrame, filters: list[Callable | None], id_col: str) -> DataFrame:
     """(id, sent_idx, n, kept0, kept1, ..., start): a row for each word."""
-    rows = sentences.select(id_col, "sent_idx", F.size("words").alias("n"), *[kept_words(sentences, f).alias(f"kept{k}") for k, f in enumerate(filters)])
+    kept = lambda f: kept_words(sentences, f) if f else F.transform("words", lambda w: F.nullif(w, F.lit("")))  # noqa: E731  words that are left out are null
+    rows = sentences.select(id_col, "sent_idx", F.size("words").alias("n"), *[kept(f).alias(f"kept{g}") for g, f in enumerate(filters)])
     return rows.select(*rows.columns, F.posexplode_outer("kept0").alias("start", "_")).where("start IS NOT NULL").drop("_")
 
 
-def _query(kept: str, level: int, before: str | None = None, known: Column | None = None, more: Column | None = None) -> Column:
+def _word(group: int, level: int) -> Column:
+    return F.get(f"kept{group}", F.col("start") + (level - 1))
+
+
+def _query(word: Column, level: int, before: str | None = None, known: Column | None = None, more: Column | None = None) -> Column:
     """The query of the window of ``level`` words, null where the window has ended.
 
     It goes on behind a beginning of a longer query; behind a query that no longer one follows, only by words that
     are left out of it.
     """
-    word = F.get(kept, F.col("start") + (level - 1))
     if level == 1:
         return F.coalesce(word, F.lit(""))
-    goes_on = more | (F.col(before) == "") | (known & F.coalesce(word == "", F.lit(True)))
-    return F.when(goes_on & (F.col("start") + level <= F.col("n")), F.concat_ws(" ", F.nullif(F.col(before), F.lit("")), F.nullif(word, F.lit(""))))
+    goes_on = (F.col("start") + level <= F.col("n")) & (more | (known & word.isNull()))
+    return F.when(goes_on, F.concat_ws(" ", F.nullif(F.col(before), F.lit("")), word))
 
 
 def _joint(matchers: list[Matcher]) -> list[tuple[list[int], DataFrame, int, Callable | None]]:
@@ -80,10 +84,10 @@ def _grow(sentences: DataFrame, matchers: list[Matcher], id_col: str) -> tuple[D
         before: tuple = ()
         for level in range(1, size + 1):
             q, known = f"q{g}_{level}", f"p{g}_{level}"
-            frame = frame.withColumn(q, _query(f"kept{g}", level, *before))
+            frame = frame.withColumn(q, _query(_word(g, level), level, *before))
             here = table.select(F.col("prefix").alias(known), F.col("more").alias(f"m{g}_{level}"), *[F.col(f"r{k}").alias(f"r{k}_{level}") for k in own])
             frame = frame.join(F.broadcast(here), F.col(q) == F.col(known), "left")
-            before = (q, F.col(known).isNotNull(), F.coalesce(F.col(f"m{g}_{level}"), F.lit(False)))
+            before = (q, F.col(known).isNotNull(), F.col(f"m{g}_{level}"))
             queries.append(q)
             for k in own:
                 if level <= matchers[k].size:
@@ -170,15 +174,16 @@ def grown_windows(sentences: DataFrame, kb: KnowledgeBase, size: int = 4, pre_fi
         sentences, size = sentences.where(F.lit(False)), 1
     if size > LEVELS:
         raise ValueError(f"windows of more than {LEVELS} words do not grow level by level")
-    frame, before, found = _starts(sentences, [pre_filter], id_col), (), []
+    # rows carry the words of their windows: a plan of this length is not compiled as a whole, and would copy the sentence for each word
+    frame, before, found = _starts(sentences, [pre_filter], id_col).select(id_col, "sent_idx", "n", "start", *[_word(0, k).alias(f"w{k}") for k in range(1, size + 1)]), (), []
     for level in range(1, size + 1):
-        q = f"q{level}"
-        frame = frame.withColumn(q, _query("kept0", level, *before))
+        q, known, asked = f"q{level}", f"p{level}_", f"a{level}_"
+        frame = frame.withColumn(q, _query(F.col(f"w{level}"), level, *before)).withColumns({"at_": block_of(F.col(q), kb.about["blocks"]), "h_": bits_hash(F.col(q))})
         here = kb.filter.select(*[F.col(c).alias(f"{c}_{level}") for c in kb.filter.columns])
-        frame = frame.join(F.broadcast(here), _block(F.col(q), kb.about["blocks"]) == F.col(f"block_{level}"), "left")
+        frame = frame.join(F.broadcast(here), F.when(F.col(q).isNotNull(), F.col("at_")) == F.col(f"block_{level}"), "left")
         word = lambda c, level=level: F.col(f"{c}_{level}")
-        known, asked = f"p{level}_", f"a{level}_"
-        frame = frame.withColumns({known: F.coalesce(in_filter(F.col(q), "p", word), F.lit(False)), asked: F.coalesce(in_filter(F.col(q), "q", word), F.lit(False))}).drop(*here.columns)
+        test = lambda kind, word=word: F.coalesce(in_filter(F.col("h_"), kind, word), F.lit(False))
+        frame = frame.withColumns({known: test("p"), asked: test("q")}).drop(*here.columns, "at_", "h_")
         before = (q, F.col(asked), F.col(known))
         found.append(F.struct((F.col("start") + level).cast("int").alias("stop"), F.when(F.col(asked), F.col(q)).alias("query")))
     some = F.col("a1_")

@@ -64,21 +64,16 @@ def registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*SPAN, F.col("candidates")[0]["response"]["concept_id"].alias("concept_id"), F.col("candidates")[0]["response"]["kind"].alias("kind"), F.lit(kb.version).alias("version"), F.lit(len(registry.versions("first_words"))).alias("n_versions"))
 
 
-def files_of_texts(spark: SparkSession, sf_dir: str, n: int) -> list[DataFrame]:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return [docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == k) for k in range(n)]
-
-
 def _streamed(spark: SparkSession, sf_dir: str, name: str, arrivals: list[list[int]]) -> tuple[DataFrame, int]:
     """Texts arrive in files; after each arrival the stream runs until all is read, and is started anew for the next.
     What it appended, and the number of its micro-batches."""
-    base, batches = scratch(spark, name), 0
-    parts = files_of_texts(spark, sf_dir, sum(map(len, arrivals)))
+    base, batches, n = scratch(spark, name), 0, sum(map(len, arrivals))
+    docs, cores = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.sparkContext.defaultParallelism
     matcher = P.Matcher(Q.base_kb(spark, sf_dir), 4, Q.lowered)
     for some in arrivals:
-        for k in some:
-            parts[k].coalesce(1).write.mode("append").parquet(f"{base}/in")
-        texts = stream_texts(spark, f"{base}/in", files_per_batch=1)
+        for k in some:  # a file for each core, which make a micro-batch
+            docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == k).repartition(cores).write.mode("append").parquet(f"{base}/in")
+        texts = stream_texts(spark, f"{base}/in", files_per_batch=cores)
         spans = span_stream(texts, [matcher], resolvers={"best": R.longest})
         rows = spans.select(*SPAN, F.size("candidates").cast("int").alias("n_candidates"), F.col("best.concept_id").alias("concept_id"))
         query = append_to(rows, f"{base}/out", f"{base}/state")

@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from lexispan.sources.knowledge import BROADCAST_BYTES, checked
 from lexispan.sources.shared import shared_dir
 
-#: Bits of a Bloom filter for each prefix, its block's words of 64 bits, and the most blocks (34 MB, sent to all executors).
-BITS, WORDS, BLOCKS = 12, 8, 1 << 18
+#: Bits of a Bloom filter for each prefix, its block's words of 64 bits, and the most blocks (38 MB, sent to all executors).
+BITS, WORDS, BLOCKS = 16, 4, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -44,34 +44,41 @@ class KnowledgeBase:
 
 def prefix_table(entries: DataFrame) -> DataFrame:
     """(prefix, more, responses): beginnings of queries that end at a space, and the queries; ``more`` where a longer
-    query follows, responses of queries only."""
+    query follows, responses of queries only. The empty prefix is always there."""
     parts = F.split("query", " ", -1)
     cut = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), " ").alias("prefix"), (k < F.size(parts)).alias("more")))
     cuts = entries.select(F.explode_outer(cut).alias("c")).select("c.prefix", "c.more", F.lit(None).cast(entries.schema["responses"].dataType).alias("responses"))
     both = cuts.unionByName(entries.select(F.col("query").alias("prefix"), F.lit(False).alias("more"), "responses"))
+    nothing = entries.sparkSession.range(1).select(F.lit("").alias("prefix"), F.lit(True).alias("more"), F.lit(None).cast(entries.schema["responses"].dataType).alias("responses"))
+    both = both.unionByName(nothing)
     return both.groupBy("prefix").agg(F.bool_or("more").alias("more"), F.first("responses", ignorenulls=True).alias("responses"))
 
 
-def _bits(key: Column) -> list[Column]:
-    """The bit that a key sets in each word of its block."""
-    return [F.shiftright(F.xxhash64(key, F.lit("bits")), 6 * k).bitwiseAND(F.lit(63)).cast("int") for k in range(WORDS)]
+def bits_hash(key: Column) -> Column:
+    """Of its lowest bits, six for each word of a block tell which bit the key sets there."""
+    return F.xxhash64(key, F.lit("bits"))
 
 
-def _block(key: Column, blocks: int) -> Column:
+def _bits(h: Column) -> list[Column]:
+    return [F.shiftright(h, 6 * k).bitwiseAND(F.lit(63).cast("long")).cast("int") for k in range(WORDS)]
+
+
+def block_of(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
 
 def bloom_blocks(prefixes: DataFrame, blocks: int) -> DataFrame:
     """(block, p0.., q0..): blocks of a Bloom filter of the prefixes that longer queries follow (p) and of the queries (q)."""
-    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), at) for at in _bits(F.col("prefix"))]
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), at) for at in _bits(bits_hash(F.col("prefix")))]
     is_query = F.col("responses").isNotNull()
     marks = [F.coalesce(F.bit_or(F.when(test, x)), F.lit(0).cast("long")).alias(f"{kind}{k}") for kind, test in (("p", F.col("more")), ("q", is_query)) for k, x in enumerate(bits)]
-    return prefixes.groupBy(_block(F.col("prefix"), blocks).alias("block")).agg(*marks)
+    return prefixes.groupBy(block_of(F.col("prefix"), blocks).alias("block")).agg(*marks)
 
 
-def in_filter(key: Column, kind: str, column: Callable[[str], Column]) -> Column:
-    """Whether a key may be in the filter; ``column`` gives the block's words by their names."""
-    return reduce(lambda a, b: a & b, [F.getbit(column(f"{kind}{k}"), b) == 1 for k, b in enumerate(_bits(key))])
+def in_filter(h: Column, kind: str, column: Callable[[str], Column]) -> Column:
+    """Whether the key of a ``bits_hash`` may be in the filter; ``column`` gives the block's words by their names."""
+    set_ = [F.call_function("shiftright", column(f"{kind}{k}"), b) for k, b in enumerate(_bits(h))]
+    return reduce(lambda a, b: a.bitwiseAND(b), set_).bitwiseAND(F.lit(1).cast("long")) == 1
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:
