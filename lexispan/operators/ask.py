@@ -44,6 +44,6 @@ def asked_hits(sentences: DataFrame, query_method: Callable[[str], Iterable[dict
                     if found:
                         yield start, stop, found
 
-    table = F.udtf(Ask, returnType=f"start int, stop int, responses array<{response}>", useArrow=True)
+    table = F.udtf(Ask, returnType=f"start int, stop int, responses array<{response}>", useArrow=False)
     rows = sentences.select(id_col, "sent_idx", kept_words(sentences, pre_filter).alias("kept"))
     return rows.lateralJoin(table(F.col("kept").outer())).select(id_col, "sent_idx", "start", "stop", "responses")
