@@ -42,7 +42,7 @@ def run(spark, name):
     return entry.queries()[name](spark, SF)
 
 
-@pytest.mark.parametrize("name", ["op1_merkle_fixity", "op2_ngram_jaccard", "op6_deep_shallow"])
+@pytest.mark.parametrize("name", ["op1_merkle_fixity", "op2_ngram_jaccard", "op6_deep_shallow", "op11_spelling_variants", "op12_source_divergence", "op13_license_diagonals"])
 def test_against_their_sql(spark, db, name):
     df = run(spark, name)
     got = Counter(tuple(r) for r in df.collect())
